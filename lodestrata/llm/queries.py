@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import line_dedup, packing, quality_pu, rule_cascade, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pu_quality": quality_pu.op2_pu_quality,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op7_rule_cascade": rule_cascade.op7_rule_cascade,
+    "op8_virtual_slot_sharding": sharding.op8_virtual_slot_sharding,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op7_rule_cascade": rule_cascade.OP7_SQL,
 }
