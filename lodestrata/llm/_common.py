@@ -2,53 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored, table
+
+__all__ = ["WS", "WS_CLASS", "column", "held_out", "raw", "rows_of", "stored"]
+
 #: The white space of every contract: blank, tab, line feed, vertical tab, form feed, return.
 #: It is what bytes.split() and bytes.strip() treat as white space.
 WS = " \t\n\x0b\x0c\r"
 WS_CLASS = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Only where that is unset (tests, a laptop) a local temporary folder takes its place,
-    and only on a local master.
-    """
-    conf = spark.sparkContext.getConf()
-    at = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Hadoop deletes it when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage with a
-    table that outlives any executor, and lets later passes reread it."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column as UTF-8 bytes, null as empty."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -65,5 +32,5 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name)
