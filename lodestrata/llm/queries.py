@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, packing, quality_pu, rule_cascade, sharding, toxicity_mil
+from . import backoff_lm, forest_ann, line_dedup, near_dedup, packing, quality_pu, rule_cascade, sharding, toxicity_mil
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hash_prefix_forest": forest_ann.op1_hash_prefix_forest,
     "op2_pu_quality": quality_pu.op2_pu_quality,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_stupid_backoff": backoff_lm.op4_stupid_backoff,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_rule_cascade": rule_cascade.op7_rule_cascade,
     "op8_virtual_slot_sharding": sharding.op8_virtual_slot_sharding,
