@@ -17,7 +17,7 @@ by key, which AQE splits.
 Defined results: null or empty text is one empty line; equal (doc_id, key) rows count once;
 rows that share a doc_id are parts of one document for counting and each keeps its own text;
 a null doc_id counts as one document, smaller than any other. Extra columns pass through
-`apply` unchanged; its outputs replace columns of the same name.
+`apply` unchanged; the two counts, if asked for, replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -195,12 +195,12 @@ class LineIndex:
         again = _filters(refs.join(edited.where("table is null").select("shard"), "shard", "left_semi"))
         return replace(self, postings=found, refs=refs, filters=stored(edited.where("table is not null").unionByName(again), "filters"))
 
-    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
         """`docs` with repeated lines taken out: every line whose key is in refs goes, unless
-        the document is the largest that holds it. Adds n_lines and n_dropped; `text` is the
-        kept lines joined by a line feed."""
+        the document is the largest that holds it. `text` is the kept lines joined by a line
+        feed; `counts` names two added columns, lines before and lines dropped, or is None."""
         probed = stored(self._probe(docs.withColumn("__id", F.col(doc_id).cast("long")), text), "probed")
-        others = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
+        others = [c for c in docs.columns if c != text]
         whole = probed.where("__hits is null")
         hit = probed.where("__hits is not null")
         pairs = hit.select(F.col("__id").alias("hit_id"), F.explode(F.array_distinct("__hits")).alias("h")).select("hit_id", "h.k1", "h.k2").distinct()
@@ -211,7 +211,7 @@ class LineIndex:
             .agg(F.collect_list(F.struct("k1", "k2")).alias("__drop"))
         )
         cut = hit.join(drops, F.col("__id").eqNullSafe(F.col("hit_id")), "left").select(*hit.columns, "__drop")
-        out = [F.col(c) for c in others] + [F.col(text), F.col("n_lines")]
+        out = [*others, text, "__n_lines"]
         min_chars, n_text = self.min_chars, text
 
         def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,24 +224,25 @@ class LineIndex:
                     kept = [x for x in lines if _key(x, min_chars) not in gone] if gone else lines
                     texts.append(b"\n".join(kept).decode())
                     dropped.append(len(lines) - len(kept))
-                keep = [column(b, c) for c in others] + [pa.array(texts, pa.string()), column(b, "n_lines"), pa.array(dropped, pa.int64())]
-                yield pa.RecordBatch.from_arrays(keep, names=[*others, n_text, "n_lines", "n_dropped"])
+                keep = [column(b, c) for c in others] + [pa.array(texts, pa.string()), column(b, "__n_lines"), pa.array(dropped, pa.int64())]
+                yield pa.RecordBatch.from_arrays(keep, names=[*out, "__n_dropped"])
 
-        shape = cut.select(*out).withColumn("n_dropped", F.lit(0).cast("long")).schema
-        return whole.select(*out, F.lit(0).cast("long").alias("n_dropped")).unionByName(cut.select(*out, "__drop").mapInArrow(strip, shape))
+        shape = cut.select(*out).withColumn("__n_dropped", F.lit(0).cast("long")).schema
+        both = whole.select(*out, F.lit(0).cast("long").alias("__n_dropped")).unionByName(cut.select(*out, "__drop").mapInArrow(strip, shape))
+        if counts is None:
+            return both.select(*docs.columns)
+        return both.select(*[c for c in docs.columns if c not in counts], F.col("__n_lines").alias(counts[0]), F.col("__n_dropped").alias(counts[1]))
 
     def _probe(self, docs: DataFrame, text: str) -> DataFrame:
-        """Add n_lines and __hits: the keys of lines that the filters may hold, null if none."""
+        """Add __n_lines and __hits: the keys of lines that the filters may hold, null if none."""
         spark = docs.sparkSession
         total = self.filters.agg(F.coalesce(F.sum(F.octet_length("table")), F.lit(0)).alias("n")).first()["n"]
         # Past the bound no filter is sent; each line of min_chars is a hit for the exact join.
         sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["table"]) for r in self.filters.collect()}) if total <= BROADCAST_BYTES else None
         min_chars, shards = self.min_chars, self.shards
-        hits_type = "array<struct<k1:bigint,k2:bigint>>"
-        docs = docs.drop("n_lines", "__hits")
-        shape = docs.withColumn("n_lines", F.lit(0).cast("long")).withColumn("__hits", F.lit(None).cast(hits_type)).schema
+        shape = docs.withColumn("__n_lines", F.lit(0).cast("long")).withColumn("__hits", F.lit(None).cast("array<struct<k1:bigint,k2:bigint>>")).schema
         inputs = docs.columns
-        names = [*inputs, "n_lines", "__hits"]
+        names = [*inputs, "__n_lines", "__hits"]
         arrow_hits = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64())]))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

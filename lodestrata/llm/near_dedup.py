@@ -39,9 +39,9 @@ from ._common import column, raw, stored
 TREES, DEPTH = 10, 6
 LEVELS = (2, 4, 6)
 WIDE = 48
-#: Signatures that agree in fewer places are no candidates: 5.4 standard deviations below what
-#: a pair at similarity 0.85 gives.
-AGREE = 0.6
+#: Signatures that agree in a share of their places this far below the similarity asked for are
+#: no candidates: 5.4 standard deviations for a pair at 0.85.
+BELOW = 0.25
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -171,11 +171,11 @@ def _second_pairs(forest: DataFrame, parts: DataFrame, percent: int) -> DataFram
     return out.distinct()
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in AGREE of their places or more."""
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree nearly as much as `percent` asks."""
     sig = classes.select("id", "signature")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    least = int(AGREE * TREES * DEPTH)
+    least = int((percent / 100 - BELOW) * TREES * DEPTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     forest = stored(regions(classes), "forest")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(_agreeing(pairs, classes), "pairs")
+        pairs = stored(_agreeing(pairs, classes, percent), "pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         texts = stored(own.join(ids, own["doc_id"] == ids["id"], "left_semi"), "texts")
         return stored(_confirmed(pairs, texts, percent, k), "links")

@@ -184,6 +184,20 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: Model | float, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score `threshold` or more, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if isinstance(model, float):
+                good = np.full(b.num_rows, model >= threshold)
+            else:
+                good = model.score(np.array([features(t) for t in raw(b, "text")]).reshape(-1, len(FEATURES))) >= threshold
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """Train on the rows that are not held out and score all: doc_id, held_out, score, predicted."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
