@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z95 = 1.96
 Z95_EXACT = NormalDist().inv_cdf(0.975)
@@ -65,7 +66,7 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
@@ -91,7 +92,7 @@ def paired_wald(b: Column, c: Column, n: Column, z: float = Z95) -> Column:
     return F.struct(d.alias("diff"), (d - z * se).alias("low"), (d + z * se).alias("high"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     """P(X >= k) of a binomial, in logarithms."""
 
