@@ -3,19 +3,24 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes) and `TREES * DEPTH`
    MinHash values. Texts with equal sets form a class; only classes go on, each with its least
    doc_id, so that a text copied into a third of all rows is one row from here on.
-2. The forest: tree t sorts the classes by its own DEPTH values. All classes that share a prefix
-   are neighbours in that order. Depths 2, 4 and 6 are kept as hashed prefixes (regions).
-3. First candidates: in each region, each class with the region's least class. Deeper regions
-   hold the longest common prefixes; the pairs are linear in the number of classes however
-   large a region is. Candidates whose signatures agree are confirmed on their whole sets.
-4. Components of the confirmed links, then second candidates: pairs in one region that are
-   still in different components. The depth adapts to the region: a region with more than
-   WIDE classes is cut by its longer prefixes, down to the whole signature; what still is wide
-   there is paired in full. A large group of copies is one component by now and makes no pair.
+2. The forest: tree t sorts the classes by its own DEPTH values; classes that share a prefix are
+   neighbours in that order. Depths 2, 4 and 6 are kept as hashed prefixes (regions). Classes
+   that share no region of depth 2 with another are done.
+3. First candidates: in each region, each class with the region's least class. A class looks as
+   deep as its neighbours reach: deeper regions hold its longest common prefixes. The pairs are
+   linear in the classes however large a region is. Candidates whose signatures agree are
+   confirmed on their whole sets, and the links' components are found.
+4. Regions that hold different components still could hide a link. A region of many classes
+   that are alike, but below the threshold, has a square of pairs, so these are not made: the
+   classes of all such regions go through an exact prefix filter instead. Ordered by how many
+   classes hold them, the rarest shingles come first, and two sets can only reach the
+   similarity if they share one among the first few (8 % and 15 % of them at 0.85), with enough
+   left behind it. Shingles inside one component count as unshared. What passes is confirmed.
 5. Components of all confirmed links.
 
-A pair at the least similarity of 0.85 shares a region of depth 2 in one of 10 trees or more
-with probability 1 - (1 - 0.85^2)^10 = 0.999997.
+A pair at a similarity of 0.85 shares a region of depth 2 in one of 10 trees or more with
+probability 1 - (1 - 0.85^2)^10 = 0.999997; from there on nothing is left to chance but the
+signatures' agreement (5.4 standard deviations).
 
 Defined results: a text without words has an empty set, is linked with nothing and is kept;
 a text with fewer than k words has one shingle, the whole sequence; rows that share a doc_id are
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -38,7 +43,8 @@ from ._common import column, raw, stored
 
 TREES, DEPTH = 10, 6
 LEVELS = (2, 4, 6)
-WIDE = 48
+#: Up to so many ids (8 MB) are broadcast to pick their texts; more are joined.
+BROADCAST_IDS = 1_000_000
 #: Signatures that agree in a share of their places this far below the similarity asked for are
 #: no candidates: 5.4 standard deviations for a pair at 0.85.
 BELOW = 0.25
@@ -139,36 +145,66 @@ def _sizes_allow(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _first_pairs(forest: DataFrame, percent: int) -> DataFrame:
+def _shared(forest: DataFrame) -> DataFrame:
+    """Rows of the forest whose region of depth LEVELS[0] has two classes or more."""
+    key = f"p{LEVELS[0]}"
+    wide = forest.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(F.col(key).alias("k"))
+    return forest.join(wide, F.col(key) == F.col("k"), "left_semi")
+
+
+def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class and the least class of each of its regions, if sizes allow."""
-    rows = forest.select("id", "n", F.explode(F.array(*(f"p{d}" for d in LEVELS))).alias("p"))
-    least = rows.groupBy("p").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("c")).where("c > 1").select("p", F.col("least.id").alias("a"), F.col("least.n").alias("m"))
+    rows = shared.select("id", "n", F.explode(F.array(*(f"p{d}" for d in LEVELS))).alias("p"))
+    # Stored, so that the join is free to split a region that very many classes share.
+    least = stored(rows.groupBy("p").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("m"), F.count("*").alias("c")).where("c > 1").select("p", "a", "m"), "least")
     return rows.join(least, "p").where((F.col("id") > F.col("a")) & _sizes_allow("n", "m", percent)).select("a", F.col("id").alias("b")).distinct()
 
 
-def _second_pairs(forest: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) in one region but in different components. A region is as deep as it takes to have
-    at most WIDE classes, or the whole signature."""
-    rows = forest.join(parts, forest["id"] == parts["vertex"], "left").select("id", "n", F.coalesce("component", "id").alias("part"), *(f"p{d}" for d in LEVELS))
+def _unsettled(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, part): classes in regions that hold two components or more."""
+    key = f"p{LEVELS[0]}"
+    rows = stored(shared.join(parts, shared["id"] == parts["vertex"], "left").select("id", F.coalesce("component", "id").alias("part"), F.col(key).alias("p")), "parts")
+    mixed = stored(rows.groupBy("p").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("p"), "mixed")
+    return rows.join(mixed, "p").select("id", "part").distinct()
 
-    def mixed(rows: DataFrame, key: str) -> DataFrame:
-        """Regions with two components or more, and their number of classes."""
-        g = rows.groupBy(key).agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("wide"))
-        return rows.join(g.where("x <> y").select(key, "wide"), key)
 
-    found, rest = [], rows
-    for d in LEVELS:
-        own = stored(mixed(rest, f"p{d}"), f"mixed{d}")
-        here = own if d == LEVELS[-1] else own.where(F.col("wide") <= WIDE)
-        here = here.select(F.col(f"p{d}").alias("p"), "id", "n", "part")
-        other = here.select("p", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-        pairs = here.join(other, "p").where((F.col("id") < F.col("id2")) & (F.col("part") != F.col("part2")) & _sizes_allow("n", "n2", percent))
-        found.append(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")))
-        rest = own.where(F.col("wide") > WIDE).drop("wide")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+def _tokens(texts: DataFrame, k: int) -> DataFrame:
+    """(id, part, n, token): the shingles of texts (id, part, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            for i, part, t in zip(column(b, "id").to_pylist(), column(b, "part").to_pylist(), raw(b, "text"), strict=True):
+                h = shingles(t, cache, k)
+                same = lambda x, n=len(h): pa.array(np.full(n, x, np.int64))
+                yield pa.RecordBatch.from_arrays([same(i), same(part), same(len(h)), pa.array(h.view(np.int64))], names=["id", "part", "n", "token"])
+
+    return texts.select("id", "part", "text").mapInArrow(run, "id long, part long, n long, token long")
+
+
+def _second_pairs(texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b) of different components that can reach the similarity, by the prefix filter."""
+    tokens = _tokens(texts, k)
+    across = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token", "c")
+    rows = tokens.join(across, "token")
+    rare_first = Window.partitionBy("id").orderBy("c", "token")
+    rows = rows.withColumn("r", F.row_number().over(rare_first)).withColumn("s", F.count("*").over(Window.partitionBy("id")))
+    # Shingles that no other component holds come before all others, as if each were unique.
+    rows = rows.withColumn("pos", F.col("n") - F.col("s") + F.col("r"))
+    longer = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    shorter = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+    rows = rows.where(F.col("pos") <= longer).select("token", "id", "part", "n", "pos", (F.col("pos") <= shorter).alias("first"))
+    rows = stored(rows, "prefixes")
+    # Of a shingle's rows, those of its most frequent component never need each other.
+    most = rows.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("part", "c").alias("major"))
+    rows = stored(rows.join(most, "token").withColumn("in_major", F.col("part") == F.col("major")).drop("major"), "marked")
+    y = rows.where("first").select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "part", "n", "pos", "in_major")])
+    x = rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "part", "n", "pos", "in_major")])
+    smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("id_y") < F.col("id_x")))
+    most_common = 1 + F.least(F.col("n_y") - F.col("pos_y"), F.col("n_x") - F.col("pos_x"))
+    fits = smaller & (F.col("part_y") != F.col("part_x")) & _sizes_allow("n_y", "n_x", percent) & (most_common * (100 + percent) >= (F.col("n_y") + F.col("n_x")) * percent)
+    both = y.where("not in_major_y").join(x, "token").where(fits).unionByName(y.where("in_major_y").join(x.where("not in_major_x"), "token").where(fits))
+    return both.select(F.least("id_y", "id_x").alias("a"), F.greatest("id_y", "id_x").alias("b")).distinct()
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -212,17 +248,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = stored(signatures(own, k), "signatures")
     classes = stored(signed.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
-    forest = stored(regions(classes), "forest")
+    shared = stored(_shared(regions(classes)), "shared")
+    ids = shared.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = stored(own.join(ids, own["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = stored(_agreeing(pairs, classes, percent), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = stored(own.join(ids, own["doc_id"] == ids["id"], "left_semi"), "texts")
-        return stored(_confirmed(pairs, texts, percent, k), "links")
-
-    first = links(_first_pairs(forest, percent))
-    parts = connected_components(first)
-    second = links(_second_pairs(forest, parts, percent))
+        return stored(_confirmed(stored(_agreeing(pairs, classes, percent), "pairs"), texts, percent, k), "links")
+
+    first = links(_first_pairs(shared, percent))
+    open_ = _unsettled(shared, connected_components(first))
+    second = links(_second_pairs(stored(texts.join(open_, "id"), "unsettled"), percent, k))
     parts = connected_components(first.unionByName(second))
     member = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", F.col("id").alias("class_id")), ["d1", "d2"], "left")
     out = member.join(parts, member["class_id"] == parts["vertex"], "left")
