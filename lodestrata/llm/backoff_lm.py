@@ -4,8 +4,9 @@ Tokens are ids of a public tokenizer, so a bigram is one whole number without co
 the unigram table is bounded by the vocabulary. The corpus counts come from the documents that
 are scored:
 
-* exploded (doc_id, gram, n): the distinct unigrams and bigrams of each document, each with its
-  number of occurrences there. A bigram (a, b) is (a + 1) * 2^20 + b, a unigram is b.
+* tokens (doc_id, row, ids): each text's ids, two bytes each, encoded once and stored.
+* exploded (row, gram, n): the distinct unigrams and bigrams of each document, each with its
+  number of occurrences there.
 * counts (gram, n): exploded, summed by gram; partial sums meet a very frequent gram before the
   shuffle, and the table stays partitioned by the hash of the gram.
 * rates (gram, log S): S(b | a) = n(a b) / n(a) for bigrams seen `min_count` times or more.
@@ -32,74 +33,89 @@ from pyspark.sql import functions as F
 from ._common import column, raw, rows_of, stored
 from .tokens import VOCABULARY, word_cache
 
-SHIFT = 20
+#: Ids take 16 bits: a bigram (a, b) is PAIR + a * 2^16 + b.
+SHIFT = 16
+PAIR = 1 << 32
 BACKOFF = 0.4
 
 
 def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct unigrams and bigrams of a token sequence, with their counts."""
-    x = ids.astype(np.int64)
-    return np.unique(np.concatenate([x, (x[:-1] + 1 << SHIFT) + x[1:]]), return_counts=True)
+    """Distinct unigrams and bigrams of a token sequence (uint16), with their counts."""
+    one, n1 = np.unique(ids, return_counts=True)
+    wide = ids.astype(np.uint32)
+    two, n2 = np.unique((wide[:-1] << SHIFT) | wide[1:], return_counts=True)
+    return np.concatenate([one.astype(np.int64), two.astype(np.int64) + PAIR]), np.concatenate([n1, n2])
 
 
-def exploded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(row, gram, n, first): `row` numbers the rows of docs; `first` is true once a row, on the
-    unigram of its first token. A row without tokens gives one row with a null gram."""
+def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, row, ids) of docs (doc_id, row, text): the tokens of each text, two bytes each."""
+    if VOCABULARY > 1 << SHIFT:
+        raise ValueError("the vocabulary does not fit the ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_cache(tokenizer)
         for b in batches:
-            rows, gram, n, first = [], [], [], []
-            for r, t in zip(column(b, "row").to_pylist(), raw(b, "text"), strict=True):
-                ids = np.frombuffer(words.ids(t), "<u4")
+            ids = [np.frombuffer(words.ids(t), "<u4").astype("<u2").tobytes() for t in raw(b, "text")]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "row"), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
+
+    shape = docs.select("doc_id", "row").withColumn("ids", F.lit(None).cast("binary")).schema
+    return docs.select("doc_id", "row", "text").mapInArrow(run, shape)
+
+
+def exploded(tokens: DataFrame) -> DataFrame:
+    """(row, gram, n, first): the grams of each row that has tokens; `first` is true on the
+    unigram of its first token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, size = [], 0
+            for r, t in zip(column(b, "row").to_pylist(), raw(b, "ids"), strict=True):
+                ids = np.frombuffer(t, "<u2")
                 if not len(ids):
                     continue
                 g, c = grams(ids)
-                gram.append(g)
-                n.append(c)
-                rows.append(np.full(len(g), r, np.int64))
-                first.append(g == ids[0])
-                if sum(map(len, gram)) > 1_000_000:
-                    yield _batch(rows, gram, n, first)
-                    rows, gram, n, first = [], [], [], []
-            if gram:
-                yield _batch(rows, gram, n, first)
+                out.append((np.full(len(g), r, np.int64), g, c, g == ids[0]))
+                size += len(g)
+                if size > 500_000:
+                    yield _batch(out)
+                    out, size = [], 0
+            if out:
+                yield _batch(out)
 
-    return docs.select("row", "text").mapInArrow(run, "row long, gram long, n long, first boolean")
+    return tokens.select("row", "ids").mapInArrow(run, "row long, gram long, n long, first boolean")
 
 
-def _batch(rows: list, gram: list, n: list, first: list) -> pa.RecordBatch:
-    cat = [pa.array(np.concatenate(x)) for x in (rows, gram, n, first)]
-    return pa.RecordBatch.from_arrays(cat, names=["row", "gram", "n", "first"])
+def _batch(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["row", "gram", "n", "first"])
 
 
 def score(docs: DataFrame, min_count: int = 2, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob) for every row of docs, by the counts of docs."""
-    # Rows get their numbers in a stored table: a retried task then sees the same numbers.
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h")).alias("key"))
-    keyed = ids.select("doc_id", F.col("key.h").alias("row"), "text")
-    # Equal (doc_id, text) rows share a number; each number is scored once, its copies counted.
-    found = exploded(keyed, tokenizer)
+    # Equal (doc_id, text) rows share a number: they are scored together, divided by their copies.
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("row"))
+    tokens = stored(tokenized(keyed, tokenizer), "tokens")
+    found = exploded(tokens)
     counts = stored(found.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    singles = counts.where(F.col("gram") < VOCABULARY)
+    singles = counts.where(F.col("gram") < PAIR)
     total = singles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # At most VOCABULARY rows: bounded by the tokenizer, whatever the corpus.
     one = F.broadcast(singles.select(F.col("gram").alias("token"), F.col("n").alias("n1")))
-    pairs = counts.where((F.col("gram") >= 1 << SHIFT) & (F.col("n") >= min_count)).withColumn("context", F.shiftright("gram", SHIFT) - 1)
+    pairs = counts.where((F.col("gram") >= PAIR) & (F.col("n") >= min_count)).withColumn("context", F.shiftright(F.col("gram") - PAIR, SHIFT))
     rates = stored(pairs.join(one, pairs["context"] == one["token"]).select(F.col("gram").alias("pair"), (F.log("n") - F.log("n1")).alias("log_s")), "rates")
     if rates.count() <= broadcast_rows:
         rates = F.broadcast(rates)
-    joined = found.withColumn("token", F.col("gram").bitwiseAND((1 << SHIFT) - 1)).join(one, "token").join(rates, F.col("gram") == F.col("pair"), "left")
+    last = F.col("gram").bitwiseAND((1 << SHIFT) - 1)
+    joined = found.withColumn("token", last).join(one, "token").join(rates, F.col("gram") == F.col("pair"), "left")
     unigram = F.log("n1") - F.log(F.lit(float(max(total, 1))))
     bigram = F.coalesce("log_s", F.log(F.lit(BACKOFF)) + unigram)
-    is_one = F.col("gram") < VOCABULARY
+    is_one = F.col("gram") < PAIR
     part = F.when(is_one, F.when(F.col("first"), unigram).otherwise(0.0)).otherwise(F.col("n") * bigram)
-    sums = joined.groupBy("row").agg(F.sum(part).alias("s"), F.sum(F.when(is_one, F.col("n")).otherwise(0)).alias("m"))
-    copies = keyed.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    per_row = sums.join(copies, "row").select("row", (F.col("s") / F.col("copies")).alias("log_prob"), (F.col("m") / F.col("copies")).cast("long").alias("n_tokens"))
-    out = keyed.select("doc_id", "row").join(per_row, "row", "left")
-    log_prob = F.coalesce("log_prob", F.lit(0.0))
-    return out.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.round(log_prob, 6).alias("log_prob"), F.round(F.col("log_prob") / F.col("n_tokens"), 9).alias("mean_log_prob"))
+    sums = joined.groupBy("row").agg(F.sum(part).alias("s"))
+    rows = tokens.select("doc_id", "row", F.shiftright(F.octet_length("ids"), 1).cast("long").alias("n_tokens"))
+    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    per_row = sums.join(copies, "row").select("row", (F.col("s") / F.col("copies")).alias("log_prob"))
+    out = rows.join(per_row, "row", "left")
+    return out.select("doc_id", "n_tokens", F.round(F.coalesce("log_prob", F.lit(0.0)), 6).alias("log_prob"), F.round(F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")), 9).alias("mean_log_prob"))
 
 
 def op4_stupid_backoff(spark, sf_dir: str) -> DataFrame:
