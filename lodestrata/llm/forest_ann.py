@@ -102,10 +102,11 @@ def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def nearest(forest: Forest, ids: list[np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, effort: float) -> pd.DataFrame:
     """The k nearest of each query in one block; ids[i] are the ids of vector i, ascending."""
     n = len(forest.x)
-    low, high = forest.ranges(queries, effort * n if n > 4 * k else np.inf)
+    # A few vectors hold nearest neighbours that are not near: look at more of them.
+    low, high = forest.ranges(queries, max(effort * n, 4.0 * k * forest.trees))
     out_q, out_v, out_s = [], [], []
     for i, (qid, q) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
-        at = forest.candidates(low[i], high[i]) if n > 4 * k else np.arange(n)
+        at = forest.candidates(low[i], high[i])
         rough = forest.x[at] @ q
         if len(at) > 2 * k:
             # Every candidate that could still be among the k nearest after exact summation.
@@ -127,7 +128,7 @@ def nearest(forest: Forest, ids: list[np.ndarray], query_ids: np.ndarray, querie
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, effort: float = 0.7, block: int = BLOCK, vec_id: str = "vec_id", embedding: str = "embedding", forest: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each row of `queries`,
     without itself. `effort` is the number of entries, over all trees and as a share of a block,
-    at which the ascent stops."""
+    at which the ascent stops; it never stops before 4 k entries a tree."""
     how = forest or {}
     least = Window.partitionBy("v").orderBy("vec_id")
     kept = usable(rows, vec_id, embedding).withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
