@@ -68,14 +68,18 @@ def base_metrics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     df = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("__words", words_of(F.col("text")))
     df = df.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0))
     df = with_repeat_words(df, "__words", "n_repeat_words")
-    return df.select(
+    df = df.select(
         "doc_id", "text",
         F.size("__words").cast("long").alias("n_words"),
         F.length(without(t, WS)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
+        F.monotonically_increasing_id().alias("__row"),
     )
+    # A filter on the result must not be pushed into the steps of n_repeat_words, which would repeat
+    # them for each element of an array: no filter passes a column that is not deterministic.
+    return df.withColumn("n_repeat_words", F.when(F.col("__row") >= 0, F.col("n_repeat_words")).otherwise(F.lit(0).cast("long"))).drop("__row")
 
 
 @dataclass(frozen=True)
