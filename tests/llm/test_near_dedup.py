@@ -1,0 +1,91 @@
+import random
+
+import pytest
+from conftest import WORDS, sentence
+from llm_helpers import collected, oracle, rows_of
+
+from lodestrata.llm import near_dedup as nd
+
+WS = " \t\n\x0b\x0c\r"
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingle_set(text, k=5):
+    t = (text or "").translate(FOLD)
+    for c in WS:
+        t = t.replace(c, " ")
+    w = [x for x in t.split(" ") if x]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+def brute(rows, percent):
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    known = [(i, s) for i, s in sets if i is not None and s]
+    for x in range(len(known)):
+        for y in range(x):
+            (i, s), (j, t) = known[x], known[y]
+            n = len(s & t)
+            if 100 * n >= percent * (len(s) + len(t) - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    out = []
+    for i, s in sets:
+        c = None if i is None else find(i)
+        out.append((str(i), len(s), str(c), i is None or c == i))
+    return sorted(out)
+
+
+def check(df, percent=85):
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in nd.near_duplicates(df, percent).collect())
+    assert got == brute(rows_of(df), percent)
+
+
+def varied(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        out[rng.randrange(len(out))] = rng.choice(WORDS) + str(rng.random())[2:5]
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_clouds_of_copies(spark, percent):
+    """Copies of a base with 0 to 9 changed words lie around the threshold on both sides."""
+    rng = random.Random(4)
+    rows, i = [], 0
+    for _ in range(6):
+        base = sentence(rng, 150).split()
+        for _ in range(22):
+            rows.append((i, varied(rng, base, rng.randint(0, 6))))
+            i += 1
+    passage = sentence(rng, 70)
+    for _ in range(40):
+        rows.append((i, sentence(rng, 60) + " " + passage + " " + sentence(rng, 60)))
+        i += 1
+    rows += [(i + k, rows[3][1]) for k in range(30)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), percent)
+
+
+def test_hostile(hostile, empty):
+    check(hostile)
+    assert nd.near_duplicates(empty).count() == 0
+
+
+def test_minhash_agrees_with_similarity():
+    rng = random.Random(6)
+    base = sentence(rng, 400).split()
+    a, b = " ".join(base).encode(), varied(rng, base, 10).encode()
+    cache = nd.WordHashes()
+    x, y = nd.shingles(a, cache), nd.shingles(b, cache)
+    true = len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
+    assert abs((nd.minhash(x) == nd.minhash(y)).mean() - true) < 0.2
+
+
+def test_oracle(spark, sf):
+    assert collected(nd.op6_near_dedup(spark, sf)) == oracle(sf, nd.OP6_SQL)
