@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, records, stats
-from ..operators import curate, decisions, replay, review, sampling, split
+from ..operators import curate, decisions, probe, replay, review, sampling, split
 from ..operators.components import connected_components
 from ..session import table
+from ..streaming import replay as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,3 +524,78 @@ def q_lost_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents")
     return split.lost_evaluation(cells(d), cells(d.where("doc_id % 4 <> 0")))
+
+
+# --- more of the reference's operators ----------------------------------------------------------
+
+
+@query(r"""
+WITH p AS (SELECT p_size AS catalog_number, regexp_replace(p_name, '\s+', ' ') AS species FROM part WHERE p_partkey % 40 < 2),
+g AS (SELECT catalog_number, list_sort(list(DISTINCT species)) AS names, count(DISTINCT regexp_extract(species, '^[^\s(]+')) AS genera, count(*) AS n FROM p GROUP BY ALL)
+SELECT array_to_string(names, ' | ') AS names, count(*) AS n_catalogs, sum(n)::BIGINT AS n_images FROM g WHERE genera > 1 GROUP BY names
+""")
+def q_conflict_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers under more than one genus, by their sorted set of names."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 40 < 2").select(F.col("p_size").cast("string").alias("catalog_number"), F.regexp_replace("p_name", r"\s+", " ").alias("species"))
+    return decisions.conflict_sets(p).select(F.array_join("names", " | ").alias("names"), "n_catalogs", "n_images")
+
+
+@query("SELECT DISTINCT source FROM documents GROUP BY source, lang QUALIFY count(*) OVER (PARTITION BY source) = (SELECT count(DISTINCT lang) FROM documents)")
+def q_common_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that have documents in every language: the n-way intersection."""
+    return sampling.common_to_all(table(spark, sf_dir, "documents"), run="lang", key="source").select("source").distinct()
+
+
+_JUDGED = "(SELECT conv_id AS file_name, role AS run, CASE WHEN max(length(text) % 3) = 0 THEN 'fix' WHEN max(turn) % 5 = 0 THEN 'drop' ELSE 'ok' END AS verdict FROM conversations GROUP BY conv_id, role)"
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.max(F.length("text") % 3) == 0, "fix").when(F.max("turn") % 5 == 0, "drop").otherwise("ok")
+    g = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("file_name"), F.col("role").alias("run")).agg(v.alias("verdict"))
+    return g.withColumn("categories", F.when(F.col("verdict") == "fix", F.array(F.lit("a"), F.lit("b"))).when(F.col("verdict") == "drop", F.array(F.lit("b"))).otherwise(F.array().cast("array<string>")))
+
+
+@query(f"SELECT file_name, count(*) AS runs FROM {_JUDGED} GROUP BY file_name HAVING count(DISTINCT verdict) > 1")
+def q_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.disagreements(_judged(spark, sf_dir)).select("file_name", F.size("runs").cast("long").alias("runs"))
+
+
+@query(f"SELECT run, count(*) AS items, count(*) AS judged, count(*) FILTER (WHERE verdict = 'ok') AS ok, count(*) FILTER (WHERE verdict = 'fix') AS fix, count(*) FILTER (WHERE verdict = 'drop') AS drop FROM {_JUDGED} GROUP BY run")
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _judged(spark, sf_dir)
+    return review.run_summary(d, d.select("run", "file_name"))
+
+
+@query(f"""
+WITH n AS (SELECT run, count(*) AS n FROM {_JUDGED} GROUP BY run),
+k AS (SELECT run, unnest(CASE verdict WHEN 'fix' THEN ['a', 'b'] WHEN 'drop' THEN ['b'] ELSE [] END) AS category FROM {_JUDGED})
+SELECT k.run, category, count(*) AS k, n.n, round(count(*) / n.n::DOUBLE, 9) AS rate FROM k JOIN n ON k.run = n.run GROUP BY k.run, category, n.n
+""")
+def q_category_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.category_rates(_judged(spark, sf_dir), ["run"]).select("run", "category", "k", "n", _r(F.col("rate")).alias("rate"))
+
+
+@query(r"""
+SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL
+""")
+def q_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extra: hourly windows by event time, the same code as over a stream."""
+    w = stream.tumbling(table(spark, sf_dir, "events"))
+    return w.select("event_type", F.col("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query(r"""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, session::BIGINT AS session, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, session
+""")
+def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extra: sessions of each user, split at gaps of half an hour."""
+    return stream.sessions_by_gap(table(spark, sf_dir, "events").select("user_id", "ts")).select("user_id", "session", "first", "last", "n")
+
+
+@query()
+def q_linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a linear model reads the label from an embedding; five stratified folds."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return probe.accuracy(probe.predictions(rows, "label", "embedding", "vec_id", components=32, iterations=20), "label")

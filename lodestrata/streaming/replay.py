@@ -77,7 +77,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", ts: str = "ts", by: str
 def sessions_by_gap(events: DataFrame, seconds: int = 1800, ts: str = "ts", by: str = "user_id") -> DataFrame:
     """The same sessions of a table, by a running sum over gaps."""
     w = Window.partitionBy(by).orderBy(ts)
-    gap = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w)
+    at = F.col(ts).cast("timestamp").cast("double")
+    gap = at - F.lag(at).over(w)
     marked = events.withColumn("__new", F.when(gap.isNull() | (gap >= seconds), 1).otherwise(0))
     marked = marked.withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(by, "session").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("n"))
