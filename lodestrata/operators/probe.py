@@ -24,7 +24,7 @@ def predictions(rows: DataFrame, cls: str, features: str, key: str, k: int = 5,
     vec = folds(rows, k, seed, cls, key).withColumn("__x", array_to_vector(features)).withColumn("__y", F.col(cls).cast("string")).persist()
     out = None
     for f in range(k):
-        steps = [StringIndexer(inputCol="__y", outputCol="label", handleInvalid="keep"), StandardScaler(inputCol="__x", outputCol="__s", withMean=True), PCA(k=min(components, dim), inputCol="__s", outputCol="__p"), LogisticRegression(featuresCol="__p", maxIter=iterations)]
+        steps = [StringIndexer(inputCol="__y", outputCol="__label", handleInvalid="keep"), StandardScaler(inputCol="__x", outputCol="__s", withMean=True), PCA(k=min(components, dim), inputCol="__s", outputCol="__p"), LogisticRegression(featuresCol="__p", labelCol="__label", maxIter=iterations)]
         model = Pipeline(stages=steps).fit(vec.where(F.col("fold") != f))
         names = F.array(*map(F.lit, model.stages[0].labels))
         done = model.transform(vec.where(F.col("fold") == f))
