@@ -95,7 +95,7 @@ RULES = (
     Rule("mean_word_long", "word_chars > 20 * n_words"),
     Rule("mean_word_short", "word_chars < 2 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("dup_lines", "10 * n_dup_lines > 3 * (length(text) - length(replace(text, '\n', '')) + 1)"),
+    Rule("dup_lines", "n_dup_lines > 2 and 10 * n_dup_lines > 3 * (length(text) - length(replace(text, '\n', '')) + 1)"),
     Rule("repeat_words", "100 * n_repeat_words > 30 * n_words"),
     Rule("shouting", "2 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > word_chars"),
     Rule("exclamations", "10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words"),
@@ -191,7 +191,7 @@ b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed
             OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words
-            OR 10 * n_dup_lines > 3 * (length(text) - length(replace(text, chr(10), '')) + 1)
+            OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * (length(text) - length(replace(text, chr(10), '')) + 1))
             OR 100 * n_repeat_words > 30 * n_words
             OR 2 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > word_chars
             OR 10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words) AS kept

@@ -24,7 +24,7 @@ def keeps(text):
     t = text or ""
     if n < 50 or 100 * repeat > 50 * n:
         return True, False
-    bad = chars > 20 * n or chars < 2 * n or 10 * symbols > n or 10 * dup > 3 * (t.count("\n") + 1) or 100 * repeat > 30 * n
+    bad = chars > 20 * n or chars < 2 * n or 10 * symbols > n or (dup > 2 and 10 * dup > 3 * (t.count("\n") + 1)) or 100 * repeat > 30 * n
     bad = bad or 2 * sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t) > chars or 10 * t.count("!") > 3 * n
     return False, not bad
 
