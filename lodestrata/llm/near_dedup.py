@@ -43,6 +43,8 @@ from ._common import column, raw, stored
 
 TREES, DEPTH = 10, 6
 LEVELS = (2, 4, 6)
+#: Bitmaps of sets have this many 64-bit words.
+WORDS = 32
 #: Up to so many ids (8 MB) are broadcast to pick their texts; more are joined.
 BROADCAST_IDS = 1_000_000
 #: Signatures that agree in a share of their places this far below the similarity asked for are
@@ -182,10 +184,28 @@ def _tokens(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "part", "text").mapInArrow(run, "id long, part long, n long, token long")
 
 
+def _bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    """(id, w0 ...): a bitmap of each text's set, one bit for each shingle's hash. Bits in which two
+    bitmaps differ each stand for a shingle that only one set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            out = np.zeros((b.num_rows, WORDS), np.uint64)
+            for r, t in enumerate(raw(b, "text")):
+                at = shingles(t, cache, k) >> np.uint64(16)
+                np.bitwise_or.at(out[r], (at >> np.uint64(6)) % np.uint64(WORDS), np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([column(b, "id"), *[pa.array(np.ascontiguousarray(out[:, w]).view(np.int64)) for w in range(WORDS)]], names=["id", *(f"w{w}" for w in range(WORDS))])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"w{w} long" for w in range(WORDS)))
+
+
 def _second_pairs(texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(a, b) of different components that can reach the similarity, by the prefix filter."""
-    tokens = _tokens(texts, k)
-    across = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token", "c")
+    """(a, b, common) of different components that can reach the similarity, by the prefix filter;
+    `common` counts the shingles of their prefixes that both have. Tables that a join meets on a
+    shingle are stored before it, so that the join is free to split a very frequent one."""
+    tokens = stored(_tokens(texts, k), "tokens")
+    across = stored(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token", "c"), "across")
     rows = tokens.join(across, "token")
     rare_first = Window.partitionBy("id").orderBy("c", "token")
     rows = rows.withColumn("r", F.row_number().over(rare_first)).withColumn("s", F.count("*").over(Window.partitionBy("id")))
@@ -196,15 +216,34 @@ def _second_pairs(texts: DataFrame, percent: int, k: int) -> DataFrame:
     rows = rows.where(F.col("pos") <= longer).select("token", "id", "part", "n", "pos", (F.col("pos") <= shorter).alias("first"))
     rows = stored(rows, "prefixes")
     # Of a shingle's rows, those of its most frequent component never need each other.
-    most = rows.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("part", "c").alias("major"))
-    rows = stored(rows.join(most, "token").withColumn("in_major", F.col("part") == F.col("major")).drop("major"), "marked")
-    y = rows.where("first").select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "part", "n", "pos", "in_major")])
-    x = rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "part", "n", "pos", "in_major")])
+    most = stored(rows.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("part", "c").alias("major")), "majors")
+    rows = rows.join(most, "token").withColumn("in_major", F.col("part") == F.col("major")).drop("major")
+    rows = stored(rows.join(_bitmaps(texts, k), "id"), "marked")
+    words = [f"w{w}" for w in range(WORDS)]
+    y = rows.where("first").select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "part", "n", "pos", "in_major", *words)])
+    x = rows.select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "part", "n", "pos", "in_major", *words)])
     smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("id_y") < F.col("id_x")))
     most_common = 1 + F.least(F.col("n_y") - F.col("pos_y"), F.col("n_x") - F.col("pos_x"))
     fits = smaller & (F.col("part_y") != F.col("part_x")) & _sizes_allow("n_y", "n_x", percent) & (most_common * (100 + percent) >= (F.col("n_y") + F.col("n_x")) * percent)
+    differ = F.expr(" + ".join(f"bit_count({w}_y ^ {w}_x)" for w in words))
+    # common = (sizes - difference) / 2 and common * (100 + percent) >= sizes * percent
+    fits = fits & ((F.col("n_y") + F.col("n_x") - differ) * (100 + percent) >= (F.col("n_y") + F.col("n_x")) * 2 * percent)
     both = y.where("not in_major_y").join(x, "token").where(fits).unionByName(y.where("in_major_y").join(x.where("not in_major_x"), "token").where(fits))
-    return both.select(F.least("id_y", "id_x").alias("a"), F.greatest("id_y", "id_x").alias("b")).distinct()
+    return both.groupBy(F.least("id_y", "id_x").alias("a"), F.greatest("id_y", "id_x").alias("b")).agg(F.count("*").alias("common"))
+
+
+def _best_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each class the pairs, as the first and as the second, with the most in common."""
+    by_a = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
+    by_b = pairs.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")
+    return by_a.unionByName(by_b).distinct()
+
+
+def _still_apart(pairs: DataFrame, parts: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs not tried whose ends are in different components."""
+    part = lambda end: parts.select(F.col("vertex").alias(end), F.col("component").alias(f"p{end}"))
+    out = pairs.join(part("a"), "a", "left").join(part("b"), "b", "left").where(F.coalesce("pa", "a") != F.coalesce("pb", "b"))
+    return out.select("a", "b").join(tried, ["a", "b"], "left_anti")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -253,13 +292,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = stored(own.join(ids, own["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return stored(_confirmed(stored(_agreeing(pairs, classes, percent), "pairs"), texts, percent, k), "links")
-
-    first = links(_first_pairs(shared, percent))
+    first = stored(_confirmed(stored(_agreeing(_first_pairs(shared, percent), classes, percent), "pairs"), texts, percent, k), "links")
     open_ = _unsettled(shared, connected_components(first))
-    second = links(_second_pairs(stored(texts.join(open_, "id"), "unsettled"), percent, k))
-    parts = connected_components(first.unionByName(second))
+    second = stored(_second_pairs(stored(texts.join(open_, "id"), "unsettled"), percent, k), "pairs")
+    tried = stored(_best_pairs(second), "tried")
+    found = first.unionByName(stored(_confirmed(tried, texts, percent, k), "links"))
+    parts = connected_components(found)
+    rest = stored(_still_apart(second, parts, tried), "rest")
+    third = stored(_confirmed(rest, texts, percent, k), "links")
+    if third.limit(1).count():
+        parts = connected_components(found.unionByName(third))
     member = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", F.col("id").alias("class_id")), ["d1", "d2"], "left")
     out = member.join(parts, member["class_id"] == parts["vertex"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
