@@ -119,5 +119,6 @@ def score(docs: DataFrame, min_count: int = 2, broadcast_rows: int = 2_000_000,
 
 
 def op4_stupid_backoff(spark, sf_dir: str) -> DataFrame:
-    """Whole `documents`, scored by the unigram and bigram counts of all of them."""
-    return score(rows_of(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Whole `documents`, scored by the unigram and bigram counts of all of them; a bigram seen
+    once has its own rate too."""
+    return score(rows_of(spark, sf_dir, "documents").select("doc_id", "text"), min_count=1)

@@ -42,6 +42,22 @@ def test_documents(spark, sf):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in brute_scores(rows_of(docs))], abs=2e-3)
 
 
+@pytest.mark.parametrize("broadcast_rows", [2_000_000, 0])
+def test_every_bigram_counts(hostile, broadcast_rows):
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 4)) for r in backoff_lm.score(hostile, min_count=1, broadcast_rows=broadcast_rows).collect())
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in brute_scores(rows_of(hostile), min_count=1)], abs=2e-3)
+
+
+def test_query_keeps_bigrams_seen_once(spark, tmp_path):
+    """The query backs off only where the count is zero, and no bigram of its own text has that."""
+    rows = [(1, "one two three four five six"), (2, "six five four three two one"), (3, "one two"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 4)) for r in backoff_lm.op4_stupid_backoff(spark, str(tmp_path)).collect())
+    whole, cut = brute_scores(rows, min_count=1), brute_scores(rows, min_count=2)
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in whole], abs=2e-3)
+    assert [w[2] for w in whole] != pytest.approx([w[2] for w in cut], abs=2e-3)
+
+
 def corpus(spark):
     rows = [(i, "big" if i % 3 == 0 else f"s{i % 5}", " ".join(["w"] * (1 + i % 17))) for i in range(600)]
     return spark.createDataFrame(rows, "doc_id long, source string, text string")
