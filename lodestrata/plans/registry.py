@@ -539,15 +539,30 @@ def q_lost_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- more of the reference's operators ----------------------------------------------------------
 
 
+def _conflict_sets(parts: DataFrame) -> DataFrame:
+    p = parts.select(F.col("p_size").cast("string").alias("catalog_number"), F.regexp_replace("p_name", r"\s+", " ").alias("species"))
+    return decisions.conflict_sets(p).select(F.array_join("names", " | ").alias("names"), "n_catalogs", "n_images")
+
+
 @query(r"""
 WITH p AS (SELECT p_size AS catalog_number, regexp_replace(p_name, '\s+', ' ') AS species FROM part WHERE p_partkey % 40 < 2),
 g AS (SELECT catalog_number, list_sort(list(DISTINCT species)) AS names, count(DISTINCT regexp_extract(species, '^[^\s(]+')) AS genera, count(*) AS n FROM p GROUP BY ALL)
 SELECT array_to_string(names, ' | ') AS names, count(*) AS n_catalogs, sum(n)::BIGINT AS n_images FROM g WHERE genera > 1 GROUP BY names
 """)
 def q_conflict_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers under more than one genus, by their sorted set of names."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 40 < 2").select(F.col("p_size").cast("string").alias("catalog_number"), F.regexp_replace("p_name", r"\s+", " ").alias("species"))
-    return decisions.conflict_sets(p).select(F.array_join("names", " | ").alias("names"), "n_catalogs", "n_images")
+    """Numbers under more than one genus, by their sorted set of names; of every twentieth part,
+    as in the SQL. `q_conflict_sets_all` reads every part."""
+    return _conflict_sets(table(spark, sf_dir, "part").where("p_partkey % 40 < 2"))
+
+
+@query(r"""
+WITH p AS (SELECT p_size AS catalog_number, regexp_replace(p_name, '\s+', ' ') AS species FROM part),
+g AS (SELECT catalog_number, list_sort(list(DISTINCT species)) AS names, count(DISTINCT regexp_extract(species, '^[^\s(]+')) AS genera, count(*) AS n FROM p GROUP BY ALL)
+SELECT array_to_string(names, ' | ') AS names, count(*) AS n_catalogs, sum(n)::BIGINT AS n_images FROM g WHERE genera > 1 GROUP BY names
+""")
+def q_conflict_sets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers under more than one genus, by their sorted set of names, over all parts."""
+    return _conflict_sets(table(spark, sf_dir, "part"))
 
 
 @query("SELECT DISTINCT source FROM documents GROUP BY source, lang QUALIFY count(*) OVER (PARTITION BY source) = (SELECT count(DISTINCT lang) FROM documents)")

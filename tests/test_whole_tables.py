@@ -18,3 +18,10 @@ def test_components_link_every_supplier(spark, tmp_path):
     got = {r["vertex"]: r["component"] for r in registry.QUERIES["q_components_all"](spark, str(tmp_path)).collect()}
     assert got == union_find([(o * 2, p * 2 + 1) for o, p, _ in rows])
     assert 1 < len(set(got.values())) < len({o for o, _, _ in rows})
+
+
+def test_conflict_sets_hold_every_part(spark, tmp_path):
+    rows = [(5, "red ring", 1), (6, "blue bolt", 1), (7, "blue bolt", 2), (8, "red ring", 2), (9, "red ring", 3), (40, "hot gear", 4), (41, "red ring", 4), (42, "blue bolt", 4)]
+    write(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_size long")
+    got = {r["names"]: (r["n_catalogs"], r["n_images"]) for r in registry.QUERIES["q_conflict_sets_all"](spark, str(tmp_path)).collect()}
+    assert got == {"blue bolt | red ring": (2, 4), "blue bolt | hot gear | red ring": (1, 3)}
