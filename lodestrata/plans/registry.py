@@ -371,9 +371,17 @@ def q_blind_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VERDICTS = "(SELECT l_linestatus AS domain, CASE l_returnflag WHEN 'A' THEN 'fix' WHEN 'R' THEN 'drop' ELSE 'ok' END AS verdict FROM lineitem WHERE l_linenumber = 1)"
 
 
-def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ALL_VERDICTS = "(SELECT l_linestatus AS domain, CASE l_returnflag WHEN 'A' THEN 'fix' WHEN 'R' THEN 'drop' ELSE 'ok' END AS verdict FROM lineitem)"
+
+
+def _verdicts(items: DataFrame) -> DataFrame:
     v = F.when(F.col("l_returnflag") == "A", "fix").when(F.col("l_returnflag") == "R", "drop").otherwise("ok")
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_linestatus").alias("domain"), v.alias("verdict"))
+    return items.select(F.col("l_linestatus").alias("domain"), v.alias("verdict"))
+
+
+def _wilson(verdicts: DataFrame) -> DataFrame:
+    g = review.error_rates(verdicts, ["domain"], "0.67")
+    return g.select("domain", "judged", "ok", "fix", "drop", "bad", *[_r(F.col(c)).alias(c) for c in ("rate", "low", "high", "fix_rate")], "accepted")
 
 
 _WILSON = "greatest(0, ({p} + 1.9208 / {n}) / (1 + 3.8416 / {n}) {s} 1.96 / (1 + 3.8416 / {n}) * sqrt({p} * (1 - {p}) / {n} + 3.8416 / (4.0 * {n} * {n})))"
@@ -387,8 +395,19 @@ FROM (SELECT *, fix + drop AS bad, (fix + drop) / judged::DOUBLE AS p FROM (
   FROM {_VERDICTS} GROUP BY domain))
 """)
 def q_error_rate_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = review.error_rates(_verdicts(spark, sf_dir), ["domain"], "0.67")
-    return g.select("domain", "judged", "ok", "fix", "drop", "bad", *[_r(F.col(c)).alias(c) for c in ("rate", "low", "high", "fix_rate")], "accepted")
+    """Of the rows with l_linenumber = 1, as in the SQL. `q_error_rate_wilson_all` judges every row."""
+    return _wilson(_verdicts(table(spark, sf_dir, "lineitem").where("l_linenumber = 1")))
+
+
+@query(rf"""
+SELECT domain, judged, ok, fix, drop, bad, round(p, 9) AS rate, round({_WILSON.format(p="p", n="judged", s="-")}, 9) AS low, round(least(1, {_WILSON.format(p="p", n="judged", s="+")}), 9) AS high,
+       round(fix / (ok + fix)::DOUBLE, 9) AS fix_rate, bad <= 0.67::DECIMAL(18, 9) * judged AS accepted
+FROM (SELECT *, fix + drop AS bad, (fix + drop) / judged::DOUBLE AS p FROM (
+  SELECT domain, count(*) AS judged, count(*) FILTER (WHERE verdict = 'ok') AS ok, count(*) FILTER (WHERE verdict = 'fix') AS fix, count(*) FILTER (WHERE verdict = 'drop') AS drop
+  FROM {_ALL_VERDICTS} GROUP BY domain))
+""")
+def q_error_rate_wilson_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wilson(_verdicts(table(spark, sf_dir, "lineitem")))
 
 
 @query("SELECT k.range AS bad, n.range AS judged, n.range > 0 AND k.range * 10 <= n.range AS accepted FROM range(0, 40) k, range(0, 400, 10) n")
@@ -439,7 +458,7 @@ def q_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_two_proportion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled z-test of each pair of domains' error rates; DuckDB has no erfc."""
-    g = review.error_rates(_verdicts(spark, sf_dir), ["domain"], "0.10")
+    g = review.error_rates(_verdicts(table(spark, sf_dir, "lineitem")), ["domain"], "0.10")
     a, b = g.select(F.col("domain").alias("d1"), F.col("bad").alias("k1"), F.col("judged").alias("n1")), g.select(F.col("domain").alias("d2"), F.col("bad").alias("k2"), F.col("judged").alias("n2"))
     return a.join(b, F.col("d1") < F.col("d2")).select("d1", "d2", _r(stats.two_proportion_p(F.col("k1"), F.col("n1"), F.col("k2"), F.col("n2"))).alias("p"))
 

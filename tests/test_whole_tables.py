@@ -1,7 +1,9 @@
 """Queries that read whole tables, against plain Python or SQL over all rows."""
 
+import math
 import random
 
+import pytest
 from test_operators import union_find
 
 from lodestrata.plans import registry
@@ -25,3 +27,13 @@ def test_conflict_sets_hold_every_part(spark, tmp_path):
     write(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_size long")
     got = {r["names"]: (r["n_catalogs"], r["n_images"]) for r in registry.QUERIES["q_conflict_sets_all"](spark, str(tmp_path)).collect()}
     assert got == {"blue bolt | red ring": (2, 4), "blue bolt | hot gear | red ring": (1, 3)}
+
+
+def test_every_verdict_is_judged(spark, tmp_path):
+    rows = [("F", "A", 1), ("F", "N", 1), ("F", "N", 2), ("F", "N", 3), ("O", "R", 1), ("O", "A", 2), ("O", "N", 2), ("O", "R", 4)]
+    write(spark, tmp_path, "lineitem", rows, "l_linestatus string, l_returnflag string, l_linenumber int")
+    got = {r["domain"]: (r["judged"], r["ok"], r["fix"], r["drop"], r["rate"]) for r in registry.QUERIES["q_error_rate_wilson_all"](spark, str(tmp_path)).collect()}
+    assert got == {"F": (4, 3, 1, 0, 0.25), "O": (4, 1, 1, 2, 0.75)}
+    [r] = registry.QUERIES["q_two_proportion"](spark, str(tmp_path)).collect()
+    z = (0.25 - 0.75) / math.sqrt(0.5 * 0.5 * (1 / 4 + 1 / 4))
+    assert (r["d1"], r["d2"]) == ("F", "O") and r["p"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-8)
