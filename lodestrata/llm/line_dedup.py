@@ -158,10 +158,13 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int = 64, doc_id: str = "doc_id", text: str = "text", keep_postings: bool = True) -> LineIndex:
         """keep_postings=False keeps no table to undo from (a batch job that never updates):
-        the counts then stream from the texts into the aggregation."""
+        the counts then stream from the texts into the aggregation. Where a doc_id stands in
+        several rows, equal (doc_id, key) rows are made one first."""
         found = postings(docs, min_chars, shards, doc_id, text)
         if keep_postings:
             found = stored(found.distinct(), "postings")
+        elif not docs.groupBy(F.col(doc_id).cast("long")).count().where("count > 1").isEmpty():
+            found = found.distinct()
         refs = stored(_refs(found, min_docs), "refs")
         return cls(found, refs, stored(_filters(refs), "filters"), min_docs, min_chars, shards)
 

@@ -85,3 +85,13 @@ def test_hostile(hostile, empty):
     assert set(out.columns) == {*hostile.columns, "n_dropped"}
     assert LineIndex.build(hostile).apply(hostile, counts=None).columns == hostile.columns
     assert LineIndex.build(empty).apply(empty).count() == 0
+
+
+@pytest.mark.parametrize("keep_postings", [True, False])
+def test_rows_of_one_document_count_once(spark, keep_postings):
+    two, nulls, three = "held by two documents only", "held by two rows without an id", "held by three documents, one twice"
+    rows = [(1, two), (1, two), (2, two), (None, nulls), (None, nulls), (3, nulls), (4, three), (4, three), (5, three), (None, three), (6, "own line of document six")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(LineIndex.build(df, keep_postings=keep_postings).apply(df))
+    assert got == plain(rows)
+    assert sum(dropped for _, _, dropped, _ in got) == 3
