@@ -474,18 +474,35 @@ def q_expected_rate_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*[F.col(c).cast("double").alias(c) for c in ("n", "fixed", "broken")], "est_fixed", "est_broken_max", _r(F.col("expected")).alias("expected"))
 
 
+def _mask_iou(e: DataFrame, first: DataFrame) -> DataFrame:
+    mask = F.transform("embedding", lambda v: v > 0)
+    a, b = first.select("vec_id", mask.alias("m")), e.select((F.col("vec_id") - 1).alias("vec_id"), mask.alias("o"))
+    z = a.join(b, "vec_id").select("vec_id", F.zip_with("m", "o", lambda x, y: F.struct((x & y).alias("i"), (x | y).alias("u"))).alias("z"))
+    n = lambda f: F.size(F.filter("z", lambda p: p[f])).cast("double")
+    return z.select("vec_id", _r(F.when(n("u") == 0, 1.0).otherwise(n("i") / n("u"))).alias("iou"))
+
+
 @query(r"""
 WITH x AS (SELECT a.vec_id, list_zip(list_transform(a.embedding, lambda v: v > 0), list_transform(b.embedding, lambda v: v > 0)) AS z
            FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
 SELECT vec_id, round(len(list_filter(z, lambda p: p[1] AND p[2])) / len(list_filter(z, lambda p: p[1] OR p[2]))::DOUBLE, 9) AS iou FROM x
 """)
 def q_mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IoU of neighbouring vectors' positive bits; two empty masks count as equal."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v > 0).alias("m"))
-    a, b = e.where("vec_id % 2 = 0"), e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("m").alias("o"))
-    z = a.join(b, "vec_id").select("vec_id", F.zip_with("m", "o", lambda x, y: F.struct((x & y).alias("i"), (x | y).alias("u"))).alias("z"))
-    n = lambda f: F.size(F.filter("z", lambda p: p[f])).cast("double")
-    return z.select("vec_id", _r(F.when(n("u") == 0, 1.0).otherwise(n("i") / n("u"))).alias("iou"))
+    """IoU of neighbouring vectors' positive bits; two empty masks count as equal. Of each even
+    vec_id and its successor, as in the SQL; `q_mask_iou_all` takes every neighbour."""
+    e = table(spark, sf_dir, "embeddings")
+    return _mask_iou(e, e.where("vec_id % 2 = 0"))
+
+
+@query(r"""
+WITH x AS (SELECT a.vec_id, list_zip(list_transform(a.embedding, lambda v: v > 0), list_transform(b.embedding, lambda v: v > 0)) AS z
+           FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(len(list_filter(z, lambda p: p[1] AND p[2])) / len(list_filter(z, lambda p: p[1] OR p[2]))::DOUBLE, 9) AS iou FROM x
+""")
+def q_mask_iou_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IoU of every vector's positive bits with its successor's."""
+    e = table(spark, sf_dir, "embeddings")
+    return _mask_iou(e, e)
 
 
 # --- groups -----------------------------------------------------------------------------------

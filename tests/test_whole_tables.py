@@ -37,3 +37,10 @@ def test_every_verdict_is_judged(spark, tmp_path):
     [r] = registry.QUERIES["q_two_proportion"](spark, str(tmp_path)).collect()
     z = (0.25 - 0.75) / math.sqrt(0.5 * 0.5 * (1 / 4 + 1 / 4))
     assert (r["d1"], r["d2"]) == ("F", "O") and r["p"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-8)
+
+
+def test_mask_iou_of_every_neighbour(spark, tmp_path):
+    rows = [(0, [1.0, -1.0, 1.0]), (1, [1.0, 1.0, -1.0]), (2, [-1.0, 1.0, -1.0]), (4, [-1.0, -1.0, -1.0]), (5, [-1.0, 0.0, -1.0])]
+    write(spark, tmp_path, "embeddings", rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["iou"] for r in registry.QUERIES["q_mask_iou_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: pytest.approx(1 / 3), 1: 0.5, 4: 1.0}
