@@ -3,11 +3,10 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes) and `TREES * DEPTH`
    MinHash values. Texts with equal sets form a class; only classes go on, each with its least
    doc_id, so that a text copied into a third of all rows is one row from here on.
-2. The forest: tree t sorts the classes by its own DEPTH values; classes that share a prefix are
-   neighbours in that order. Depths 2, 4 and 6 are kept as hashed prefixes (regions). Classes
+2. The forest: tree t has its own DEPTH values. No order is sorted; the prefixes of the fixed
+   depths 2, 4 and 6 are hashed, and classes that share one are in the same region. Classes
    that share no region of depth 2 with another are done.
-3. First candidates: in each region, each class with the region's least class. A class looks as
-   deep as its neighbours reach: deeper regions hold its longest common prefixes. The pairs are
+3. First candidates: in each region, each class with the region's least class. The pairs are
    linear in the classes however large a region is. Candidates whose signatures agree are
    confirmed on their whole sets, and the links' components are found.
 4. Regions that hold different components still could hide a link. A region of many classes
