@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored, table
 
-__all__ = ["WS", "WS_CLASS", "column", "held_out", "raw", "rows_of", "stored"]
+__all__ = ["WS", "WS_CLASS", "column", "fresh", "held_out", "raw", "rows_of", "stored"]
 
 #: The white space of every contract: blank, tab, line feed, vertical tab, form feed, return.
 #: It is what bytes.split() and bytes.strip() treat as white space.
@@ -34,3 +34,15 @@ def held_out(doc_id: str = "doc_id"):
 
 def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out

@@ -2,22 +2,26 @@
 
 State, all of it tables in the shared folder:
 
-* postings (shard, k1, k2, doc_id): one row for each key and document that holds it; the
-  exact reference counts are sums over them, so an insertion adds rows, a deletion takes a
-  document's rows away, and either can be undone.
+* postings (k1, k2, doc_id): one row for each key and document that holds it; the exact
+  reference counts are sums over them, so an insertion adds rows, a deletion takes a document's
+  rows away, and either can be undone.
 * refs (shard, k1, k2, n_docs, top_doc): keys at `min_docs` documents or more.
 * filters (shard, n, table): one cuckoo filter per shard over the keys in refs. Sixteen-bit
-  fingerprints in buckets of four slots; deletion removes a fingerprint.
+  fingerprints in buckets of four slots; deletion removes a fingerprint. There are as many
+  shards as keep each at about SHARD_KEYS keys, so no filter grows with the corpus.
 
-`apply` probes the filters with every line. A line whose fingerprint is absent is certainly
-no repeated line; only the hits go to the exact table. A key in a third of all documents is
-one row of refs (partial aggregation meets it before the shuffle), and its hits are joined
-by key, which AQE splits.
+`apply` probes the filters with every posting. A key whose fingerprint is absent is certainly no
+repeated line; only the hits are joined to the exact table. While all filters together stay
+within `sent_bytes` they are sent to the tasks that read the postings; beyond that the postings
+are dealt to the filter of their shard, each shard in as many parts as its postings need.
+A key in a third of all documents is one row of refs (partial aggregation meets it before the
+shuffle), and its hits are joined by key, which AQE splits.
 
 Defined results: null or empty text is one empty line; equal (doc_id, key) rows count once;
 rows that share a doc_id are parts of one document for counting and each keeps its own text;
-a null doc_id counts as one document, smaller than any other. Extra columns pass through
-`apply` unchanged; the two counts, if asked for, replace columns of the same name.
+a null doc_id counts as one document, smaller than any other; an empty table gives no rows.
+Extra columns pass through `apply` unchanged, whatever their names; the two counts, if asked
+for, replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column, raw, stored
+from ._common import column, fresh, raw, stored
 
 SLOTS = 4
 MAX_KICKS = 500
-#: Filters above this size are not sent to the executors; the exact join does without them.
-BROADCAST_BYTES = 64 << 20
+#: Filters of more bytes than this are not sent to every task; postings are dealt to them instead.
+SENT_BYTES = 64 << 20
+#: Keys of one shard's filter, about; and the fewest shards.
+SHARD_KEYS, LEAST_SHARDS = 50_000, 64
 
 
 class CuckooFilter:
@@ -144,6 +150,10 @@ def _shard(k1: np.ndarray, shards: int) -> np.ndarray:
     return (k1.astype(np.int64).view(np.uint64) >> np.uint64(20)).astype(np.int64) % shards
 
 
+def _shard_of(k1: str, shards: int):
+    return (F.shiftrightunsigned(F.col(k1), 20) % F.lit(shards)).cast("int").alias("shard")
+
+
 @dataclass(frozen=True)
 class LineIndex:
     """An index of lines; every change returns a new one and leaves the old one usable."""
@@ -151,25 +161,32 @@ class LineIndex:
     postings: DataFrame
     refs: DataFrame
     filters: DataFrame
-    min_docs: int = 3
-    min_chars: int = 20
-    shards: int = 64
+    min_docs: int
+    min_chars: int
+    shards: int
 
     @classmethod
-    def build(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int = 64, doc_id: str = "doc_id", text: str = "text", keep_postings: bool = True) -> LineIndex:
-        """keep_postings=False keeps no table to undo from (a batch job that never updates):
-        the counts then stream from the texts into the aggregation. Where a doc_id stands in
-        several rows, equal (doc_id, key) rows are made one first."""
-        found = postings(docs, min_chars, shards, doc_id, text)
-        if keep_postings:
-            found = stored(found.distinct(), "postings")
-        elif not docs.groupBy(F.col(doc_id).cast("long")).count().where("count > 1").isEmpty():
-            found = found.distinct()
-        refs = stored(_refs(found, min_docs), "refs")
+    def build(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
+        rows = stored(postings(docs, min_chars, doc_id, text), "postings")
+        several = docs.groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        # A row's keys are distinct; only ids that stand in several rows can repeat one.
+        again = stored(several, "several")
+        same = F.col("doc_id").eqNullSafe(F.col("id"))
+        once = rows.join(again, same, "left_anti")
+        return cls._of(once.unionByName(rows.join(again, same, "left_semi").distinct()), min_docs, min_chars)
+
+    @classmethod
+    def _of(cls, found: DataFrame, min_docs: int, min_chars: int) -> LineIndex:
+        counted = stored(_refs(found, min_docs), "counted")
+        shards = LEAST_SHARDS
+        n = counted.count()
+        while shards * SHARD_KEYS < n:
+            shards *= 2
+        refs = counted.select(_shard_of("k1", shards), "*")
         return cls(found, refs, stored(_filters(refs), "filters"), min_docs, min_chars, shards)
 
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LineIndex:
-        new = postings(docs, self.min_chars, self.shards, doc_id, text)
+        new = postings(docs, self.min_chars, doc_id, text)
         return self._changed(stored(self.postings.unionByName(new).distinct(), "postings"))
 
     def delete(self, ids: DataFrame, doc_id: str = "doc_id") -> LineIndex:
@@ -179,8 +196,11 @@ class LineIndex:
 
     def _changed(self, found: DataFrame) -> LineIndex:
         """Edit the filters by the keys that crossed the threshold, one task per shard; a shard
-        without any keeps its filter as it is."""
-        refs = stored(_refs(found, self.min_docs), "refs")
+        without any keeps its filter as it is. An index four times too large for its shards is
+        built anew with more of them."""
+        refs = stored(_refs(found, self.min_docs).select(_shard_of("k1", self.shards), "*"), "refs")
+        if refs.count() > 4 * self.shards * SHARD_KEYS:
+            return self._of(found, self.min_docs, self.min_chars)
         on = ["shard", "k1", "k2"]
         moves = refs.join(self.refs, on, "left_anti").select("shard", "k1", F.lit(True).alias("added")).unionByName(self.refs.join(refs, on, "left_anti").select("shard", "k1", F.lit(False).alias("added")))
         counts = refs.groupBy("shard").agg(F.count("*").alias("n_now"))
@@ -198,91 +218,91 @@ class LineIndex:
         again = _filters(refs.join(edited.where("table is null").select("shard"), "shard", "left_semi"))
         return replace(self, postings=found, refs=refs, filters=stored(edited.where("table is not null").unionByName(again), "filters"))
 
-    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    def apply(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_dropped"), indexed: bool = False, sent_bytes: int = SENT_BYTES) -> DataFrame:
         """`docs` with repeated lines taken out: every line whose key is in refs goes, unless
         the document is the largest that holds it. `text` is the kept lines joined by a line
-        feed; `counts` names two added columns, lines before and lines dropped, or is None."""
-        probed = stored(self._probe(docs.withColumn("__id", F.col(doc_id).cast("long")), text), "probed")
-        others = [c for c in docs.columns if c != text]
-        whole = probed.where("__hits is null")
-        hit = probed.where("__hits is not null")
-        pairs = hit.select(F.col("__id").alias("hit_id"), F.explode(F.array_distinct("__hits")).alias("h")).select("hit_id", "h.k1", "h.k2").distinct()
+        feed; `counts` names two added columns, lines before and lines dropped, or is None.
+        `indexed` says that the index holds exactly these rows, so that its postings serve."""
+        found = self.postings if indexed else stored(postings(docs, self.min_chars, doc_id, text), "postings")
+        hits = self._probed(found, sent_bytes)
         drops = (
-            pairs.join(self.refs, ["k1", "k2"])
-            .where(~F.col("hit_id").eqNullSafe(F.col("top_doc")))
-            .groupBy("hit_id")
-            .agg(F.collect_list(F.struct("k1", "k2")).alias("__drop"))
+            hits.join(self.refs.select("k1", "k2", "top_doc"), ["k1", "k2"])
+            .where(~F.col("doc_id").eqNullSafe(F.col("top_doc")))
+            .groupBy("doc_id")
+            .agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
         )
-        cut = hit.join(drops, F.col("__id").eqNullSafe(F.col("hit_id")), "left").select(*hit.columns, "__drop")
-        out = [*others, text, "__n_lines"]
-        min_chars, n_text = self.min_chars, text
-
-        def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                drop = column(b, "__drop").to_pylist()
-                texts, dropped = [], []
-                for t, d in zip(raw(b, n_text), drop, strict=True):
-                    gone = {(x["k1"], x["k2"]) for x in d or ()}
-                    lines = t.split(b"\n")
-                    kept = [x for x in lines if _key(x, min_chars) not in gone] if gone else lines
-                    texts.append(b"\n".join(kept).decode())
-                    dropped.append(len(lines) - len(kept))
-                keep = [column(b, c) for c in others] + [pa.array(texts, pa.string()), column(b, "__n_lines"), pa.array(dropped, pa.int64())]
-                yield pa.RecordBatch.from_arrays(keep, names=[*out, "__n_dropped"])
-
-        shape = cut.select(*out).withColumn("__n_dropped", F.lit(0).cast("long")).schema
-        both = whole.select(*out, F.lit(0).cast("long").alias("__n_dropped")).unionByName(cut.select(*out, "__drop").mapInArrow(strip, shape))
-        if counts is None:
-            return both.select(*docs.columns)
-        return both.select(*[c for c in docs.columns if c not in counts], F.col("__n_lines").alias(counts[0]), F.col("__n_dropped").alias(counts[1]))
-
-    def _probe(self, docs: DataFrame, text: str) -> DataFrame:
-        """Add __n_lines and __hits: the keys of lines that the filters may hold, null if none."""
-        spark = docs.sparkSession
+        id_, gone, cut = fresh(docs, "id", "gone", "cut")
+        drops = stored(drops.select(F.col("doc_id").alias(id_), F.col("keys").alias(gone)), "drops")
+        min_chars = self.min_chars
+
+        @F.arrow_udf("struct<text:string,n:bigint>")
+        def strip(texts: pa.Array, keys: pa.Array) -> pa.Array:
+            kept, dropped = [], []
+            for t, d in zip(texts.cast(pa.large_binary()).to_pylist(), keys.to_pylist(), strict=True):
+                if d is None:
+                    kept.append(None)
+                    dropped.append(0)
+                    continue
+                away = {(x["k1"], x["k2"]) for x in d}
+                lines = t.split(b"\n")
+                stay = [x for x in lines if _key(x, min_chars) not in away]
+                kept.append(b"\n".join(stay).decode())
+                dropped.append(len(lines) - len(stay))
+            return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(dropped, pa.int64())], names=["text", "n"])
+
+        whole = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+        joined = whole.join(drops, whole[doc_id].cast("long").eqNullSafe(drops[id_]), "left")
+        # Only texts that lose a line go through Python.
+        joined = joined.withColumn(cut, strip(F.when(F.col(gone).isNotNull(), F.col(text)), F.col(gone)))
+        n_lines = (F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
+        names = dict(zip(counts or (), (n_lines, F.col(f"{cut}.n")), strict=True)) if counts else {}
+        out = [F.when(F.col(gone).isNotNull(), F.col(f"{cut}.text")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c not in names]
+        return joined.select(*out, *[v.alias(k) for k, v in names.items()])
+
+    def _probed(self, found: DataFrame, sent_bytes: int) -> DataFrame:
+        """The postings that the filters may hold."""
         total = self.filters.agg(F.coalesce(F.sum(F.octet_length("table")), F.lit(0)).alias("n")).first()["n"]
-        # Past the bound no filter is sent; each line of min_chars is a hit for the exact join.
-        sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["table"]) for r in self.filters.collect()}) if total <= BROADCAST_BYTES else None
-        min_chars, shards = self.min_chars, self.shards
-        shape = docs.withColumn("__n_lines", F.lit(0).cast("long")).withColumn("__hits", F.lit(None).cast("array<struct<k1:bigint,k2:bigint>>")).schema
-        inputs = docs.columns
-        names = [*inputs, "__n_lines", "__hits"]
-        arrow_hits = pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64())]))
+        return self._probed_at_source(found) if total <= sent_bytes else self._probed_by_shard(found)
+
+    def _probed_at_source(self, found: DataFrame) -> DataFrame:
+        sent = found.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["table"]) for r in self.filters.collect()})
+        shards = self.shards
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {s: CuckooFilter.from_bytes(t) for s, t in sent.value.items()} if sent else None
+            filters = {s: CuckooFilter.from_bytes(t) for s, t in sent.value.items()}
             for b in batches:
-                n_lines, keys, owner = [], [], []
-                for i, t in enumerate(raw(b, text)):
-                    lines = t.split(b"\n")
-                    n_lines.append(len(lines))
-                    for line in lines:
-                        if len(line) >= min_chars and (k := _key(line, min_chars)):
-                            keys.append(k)
-                            owner.append(i)
-                hits: list = [None] * len(n_lines)
-                if keys:
-                    k = np.array(keys, np.int64)
-                    may = np.ones(len(k), bool)
-                    if filters is not None:
-                        shard = _shard(k[:, 0], shards)
-                        may[:] = False
-                        for s in np.unique(shard):
-                            if s in filters:
-                                at = np.flatnonzero(shard == s)
-                                may[at] = filters[s].contains(k[at, 0])
-                    for j in np.flatnonzero(may):
-                        i = owner[j]
-                        hits[i] = hits[i] or []
-                        hits[i].append({"k1": keys[j][0], "k2": keys[j][1]})
-                arrays = [column(b, c) for c in inputs] + [pa.array(n_lines, pa.int64()), pa.array(hits, arrow_hits)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-        fixed = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-        return fixed.mapInArrow(probe, shape)
-
-
-def postings(docs: DataFrame, min_chars: int, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, k1, k2, doc_id), once for each document row and key."""
+                k = column(b, "k1").to_numpy()
+                shard = _shard(k, shards)
+                order = np.argsort(shard, kind="stable")
+                may = np.zeros(len(k), bool)
+                which, starts = np.unique(shard[order], return_index=True)
+                for s, at in zip(which.tolist(), np.split(order, starts[1:]), strict=True):
+                    if s in filters:
+                        may[at] = filters[s].contains(k[at])
+                yield b.filter(pa.array(may))
+
+        return found.mapInArrow(probe, found.schema)
+
+    def _probed_by_shard(self, found: DataFrame) -> DataFrame:
+        """Each shard's postings meet its filter in parts of a bounded number of rows: a shard that
+        holds a very frequent key has more of them."""
+        dealt = found.select("*", _shard_of("k1", self.shards))
+        sizes = stored(dealt.groupBy("shard").agg(F.count("*").alias("n")), "sizes")
+        room = min(max(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] // 256, 10_000), 500_000)
+        parts = sizes.select("shard", F.ceil(F.col("n") / room).cast("int").alias("parts"))
+        left = dealt.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "k2"), F.col("parts")).cast("int")).drop("parts")
+        right = self.filters.join(parts, "shard").select("shard", "table", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+        def probe(rows: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+            if not len(tables) or not len(rows):
+                return rows[:0][["k1", "k2", "doc_id"]]
+            return rows[CuckooFilter.from_bytes(tables.table[0]).contains(rows.k1.to_numpy())][["k1", "k2", "doc_id"]]
+
+        return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(probe, "k1 long, k2 long, doc_id long")
+
+
+def postings(docs: DataFrame, min_chars: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k1, k2, doc_id), once for each document row and key."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,18 +314,16 @@ def postings(docs: DataFrame, min_chars: int, shards: int, doc_id: str = "doc_id
                     k1.append(x)
                     k2.append(y)
                 who.extend([i] * len(own))
-            a = np.array(k1, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_shard(a, shards).astype(np.int32)), pa.array(a), pa.array(k2, pa.int64()), pa.array(who, pa.int64())], names=["shard", "k1", "k2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(who, pa.int64())], names=["k1", "k2", "doc_id"])
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(explode, "shard int, k1 long, k2 long, doc_id long")
+    return own.mapInArrow(explode, "k1 long, k2 long, doc_id long")
 
 
 def _refs(found: DataFrame, min_docs: int) -> DataFrame:
     """Keys of at least min_docs documents, with the largest. Two sums: one row for each task
     and key first, so a key that a third of the documents hold stays small."""
-    per_doc = F.count(F.lit(1)).alias("n_docs")
-    return found.groupBy("shard", "k1", "k2").agg(per_doc, F.max("doc_id").alias("top_doc")).where(F.col("n_docs") >= min_docs)
+    return found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("top_doc")).where(F.col("n_docs") >= min_docs)
 
 
 def _filters(refs: DataFrame) -> DataFrame:
@@ -318,10 +336,15 @@ def _filters(refs: DataFrame) -> DataFrame:
     return refs.select("shard", "k1").groupBy("shard").applyInPandas(build, "shard int, n long, table binary")
 
 
+def deduplicated(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, **how) -> DataFrame:
+    """Index docs and take their repeated lines out in one go."""
+    return LineIndex.build(docs, min_docs, min_chars).apply(docs, indexed=True, **how)
+
+
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Whole `documents`: keys of 20 code points or more in 3 documents or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = LineIndex.build(docs, min_docs=3, min_chars=20, keep_postings=False).apply(docs)
+    out = deduplicated(docs, min_docs=3, min_chars=20)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

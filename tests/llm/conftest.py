@@ -6,6 +6,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+from llm_helpers import HOSTILE  # noqa: E402
+
 WORDS = [f"{a}{b}{c}" for a in ("ka", "mo", "ti", "re", "su", "lo", "ne", "vi") for b in ("ran", "bel", "dor", "mik", "tas") for c in ("o", "en", "ar", "is", "um")]
 
 
@@ -17,14 +19,6 @@ def text(rng, lines=4, n=12):
     return "\n".join(sentence(rng, n) + "." for _ in range(lines))
 
 
-#: Every row the contracts name: nulls, empty and blank texts, ties, repeats, odd characters.
-HOSTILE = [
-    (1, None), (2, ""), (3, "   \t\n \x0b"), (4, "one"), (5, "one"), (5, "one"), (None, "one two three four five six"), (None, None),
-    (6, "ÄÖÜ ß İstanbul ſ  x y 😀 é"), (7, "a\x00b \x1c \x85 end"), (8, "<|endoftext|> text <|startoftext|>"), (9, "\n\n\n"),
-    (10, "idiot! " * 3), (2**62, "big id " * 10), (-5, "negative id " * 10),
-]
-
-
 @pytest.fixture(scope="session")
 def hostile(spark):
     """HOSTILE and one very long text, with columns whose names the operators use themselves."""

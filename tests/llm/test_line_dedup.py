@@ -3,9 +3,9 @@ import random
 
 import numpy as np
 import pytest
-from llm_helpers import rows_of
+from llm_helpers import HOSTILE, rows_of
 
-from lodestrata.llm.line_dedup import CuckooFilter, LineIndex
+from lodestrata.llm.line_dedup import SENT_BYTES, CuckooFilter, LineIndex, deduplicated, op3_line_dedup
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -59,11 +59,18 @@ def test_against_plain(spark, docs):
     assert result(LineIndex.build(df).apply(df)) == plain(docs)
 
 
-def test_without_filters(spark, docs, monkeypatch):
-    """Past the bound on filters the exact join alone gives the same."""
-    monkeypatch.setattr("lodestrata.llm.line_dedup.BROADCAST_BYTES", -1)
+def test_filters_beyond_the_bound_are_probed_by_shard(spark, docs, monkeypatch):
+    """With no room to send the filters, postings are dealt to them: the result is the same, and
+    what the filters lack never reaches the exact table."""
+    monkeypatch.setattr("lodestrata.llm.line_dedup.SHARD_KEYS", 1)
+    monkeypatch.setattr("lodestrata.llm.line_dedup.LEAST_SHARDS", 2)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert result(LineIndex.build(df, keep_postings=False).apply(df)) == plain(docs)
+    index = LineIndex.build(df)
+    assert index.shards >= index.refs.count() > 2
+    assert result(index.apply(df, indexed=True, sent_bytes=-1)) == plain(docs)
+    few = index._probed_by_shard(index.postings)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, index._probed_at_source(index.postings).collect()))
+    assert index.refs.count() <= few.select("k1", "k2").distinct().count() < index.postings.select("k1", "k2").distinct().count()
 
 
 def test_insert_and_delete_are_reversible(spark, docs):
@@ -87,11 +94,26 @@ def test_hostile(hostile, empty):
     assert LineIndex.build(empty).apply(empty).count() == 0
 
 
-@pytest.mark.parametrize("keep_postings", [True, False])
-def test_rows_of_one_document_count_once(spark, keep_postings):
+@pytest.mark.parametrize("sent", [SENT_BYTES, -1])
+def test_rows_of_one_document_count_once(spark, sent):
     two, nulls, three = "held by two documents only", "held by two rows without an id", "held by three documents, one twice"
-    rows = [(1, two), (1, two), (2, two), (None, nulls), (None, nulls), (3, nulls), (4, three), (4, three), (5, three), (None, three), (6, "own line of document six")]
+    rows = [(1, two), (1, two), (1, two), (2, two), (None, nulls), (None, nulls), (3, nulls), (4, three), (4, three), (5, three), (None, three), (6, "own line of document six")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = result(LineIndex.build(df, keep_postings=keep_postings).apply(df))
+    got = result(deduplicated(df, sent_bytes=sent))
     assert got == plain(rows)
     assert sum(dropped for _, _, dropped, _ in got) == 3
+
+
+def test_registered_query_on_repeated_and_hostile_rows(spark, tmp_path):
+    rows = [*HOSTILE, *[(i, t) for i, t in HOSTILE], (20, "a line of more than twenty"), (20, "A line of more than twenty "), (21, "a line of more than twenty"), (None, "a line of more than twenty")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in op3_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()), key=str)
+    assert got == plain(rows)
+
+
+def test_columns_named_like_working_ones_pass(spark):
+    rows = [(i, "one line that three documents hold\nown " + str(i), "x", 1, "y") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string, __gone int, __cut string")
+    out = deduplicated(df, counts=None)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [(0, "own 0", "x", 1, "y"), (1, "own 1", "x", 1, "y"), (2, rows[2][1], "x", 1, "y")]
