@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, near_dedup, packing, quality_pu
 from lodestrata.llm._common import held_out, rows_of, stored
-from lodestrata.llm.line_dedup import LineIndex
+from lodestrata.llm.line_dedup import deduplicated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters or more in three documents or more stay in one of them. A document
     that loses all its lines stays, with an empty text."""
-    out = LineIndex.build(docs, min_docs=3, min_chars=20, keep_postings=False).apply(docs, counts=None)
+    out = deduplicated(docs, min_docs=3, min_chars=20, counts=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
