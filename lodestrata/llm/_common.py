@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored, table
+from ..session import new_dir, stored, table
 
-__all__ = ["WS", "WS_CLASS", "column", "fresh", "held_out", "raw", "rows_of", "stored"]
+__all__ = ["WS", "WS_CLASS", "column", "fresh", "held_out", "new_dir", "raw", "rows_of", "stored"]
 
 #: The white space of every contract: blank, tab, line feed, vertical tab, form feed, return.
 #: It is what bytes.split() and bytes.strip() treat as white space.

@@ -9,7 +9,9 @@ finds its place from its rank among the pieces of its length; ranks come from a
 each (length, bucket), so that a length that a third of all pieces share is no single task.
 
 Defined results: a null or empty text has only the closing id; rows that share a doc_id are
-separate documents; an empty table gives no rows; columns beside id and text are not read.
+separate documents; equal rows are dealt over buckets by their place in the table; an empty
+table gives no rows; columns beside id and text are not read. `pack` replaces columns named
+sequence_id and offset; its other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import column, raw, stored
+from ._common import column, fresh, raw, stored
 from .tokens import word_cache
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times) of one bin, longest first
@@ -214,37 +216,38 @@ def token_pieces(docs: DataFrame, capacity: int, end_id: int = 1, doc_id: str =
 def pack(pieces: DataFrame, capacity: int = 4096, per_bucket: int = 100_000) -> DataFrame:
     """Add sequence_id and offset to rows with a `length` of 1 to `capacity`; other columns
     pass through. Pieces of one length are ranked in buckets of about `per_bucket` rows."""
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row, bucket, before, rank, of_length, of_bucket = fresh(pieces, "row", "bucket", "before", "rank", "of_length", "of_bucket")
+    # Stored with a number for each row: nothing is computed twice, equal rows are ranked apart.
+    dealt = stored(pieces.select(*own, F.monotonically_increasing_id().alias(row)), "pieces")
+    counts = {r["length"]: r["n"] for r in dealt.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = Places(solve(counts, capacity))
     buckets = max(32, -(-max(counts.values(), default=0) // per_bucket))
-    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    dealt = pieces.select(*own, F.pmod(F.xxhash64(*[c for c in ("doc_id", "piece", "ids_crc32") if c in own]), F.lit(buckets)).cast("int").alias("__bucket"))
-    before = (
-        dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-        .withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(F.col("length").alias("__length"), F.col("__bucket").alias("__b"), F.coalesce("__before", F.lit(0)).alias("__before"))
-    )
-    within = Window.partitionBy("length", "__bucket").orderBy(*[c for c in ("doc_id", "piece", "ids_crc32") if c in own])
+    dealt = dealt.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("length").alias(of_length), F.col(bucket).alias(of_bucket), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    within = Window.partitionBy("length", bucket).orderBy(row)
     ranked = (
-        dealt.withColumn("__rank", F.row_number().over(within))
-        .join(before, (F.col("length") == F.col("__length")) & (F.col("__bucket") == F.col("__b")))
-        .select(*own, (F.col("__rank") - 1 + F.col("__before")).cast("long").alias("__rank"))
+        dealt.withColumn(rank, F.row_number().over(within))
+        .join(starts, (dealt["length"] == F.col(of_length)) & (F.col(bucket) == F.col(of_bucket)))
+        .select(*[dealt[c] for c in own], (F.col(rank) - 1 + F.col(before)).cast("long").alias(rank))
     )
-    shape = ranked.drop("__rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
+    shape = ranked.drop(rank).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
     sent = pieces.sparkSession.sparkContext.broadcast(places)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, o = sent.value.of(column(b, "length").to_numpy(), column(b, "__rank").to_numpy())
+            s, o = sent.value.of(column(b, "length").to_numpy(), column(b, rank).to_numpy())
             yield pa.RecordBatch.from_arrays([column(b, c) for c in own] + [pa.array(s), pa.array(o)], names=[*own, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, shape)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, **how) -> DataFrame:
-    """Tokenize, cut and pack documents. The pieces (a few numbers each, no text and no ids) are
-    stored once, so that no text is encoded twice."""
-    return pack(stored(token_pieces(docs, capacity, **how), "pieces"), capacity)
+    """Tokenize, cut and pack documents; `pack` stores the pieces (a few numbers each, no text
+    and no ids), so that no text is encoded twice."""
+    return pack(token_pieces(docs, capacity, **how), capacity)
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -120,6 +120,18 @@ def test_one_length_in_many_buckets(spark):
     assert len(got) == 900 and check_layout(got, 32) <= 200
 
 
+def test_equal_rows_and_other_columns(spark):
+    """A third of the rows being one row spreads over the buckets; other columns pass, but for
+    the two that the operator gives."""
+    rows = [(7, 0, 5, 1.5, "x", 1)] * 400 + [(i, 0, 3 + i % 9, 2.5, "y", 2) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, __rank double, of_length string, offset int")
+    out = pack(df, 32, per_bucket=10)
+    assert out.columns == ["doc_id", "piece", "length", "__rank", "of_length", "sequence_id", "offset"]
+    got = out.collect()
+    assert sorted((r["doc_id"], r["length"], r["__rank"], r["of_length"]) for r in got) == sorted((i, n, x, y) for i, _, n, x, y, _ in rows)
+    assert check_layout(got, 32) <= 1.05 * sum(r[2] for r in rows) / 32
+
+
 def test_documents(spark, sf, tokenizer):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = pack_documents(docs, 4096).collect()
