@@ -1,24 +1,31 @@
-"""Stupid-backoff language-model scores, computed relationally.
+"""Stupid-backoff language-model scores from partitioned n-gram count tables.
 
-Tokens are ids of a public tokenizer, so a bigram is one whole number without collisions and
-the unigram table is bounded by the vocabulary. The corpus counts come from the documents that
-are scored:
+Tokens are ids of a public tokenizer, so an n-gram of order 1, 2 or 3 is one whole number
+(order, then 16 bits a token) without collisions. The counts come from the documents that are
+scored, and a document is scored by the counts of all others: what it holds itself is taken off.
 
-* tokens (doc_id, row, ids): each text's ids, two bytes each, encoded once and stored.
-* exploded (row, gram, n): the distinct unigrams and bigrams of each document, each with its
-  number of occurrences there.
-* counts (gram, n): exploded, summed by gram; partial sums meet a very frequent gram before the
-  shuffle, and the table stays partitioned by the hash of the gram.
-* rates (gram, log S): S(b | a) = n(a b) / n(a) for bigrams seen `min_count` times or more.
+    S(c | a b) = n(a b c) / n(a b)      if another document holds a b c,
+                 0.4 * S(c | b)         else; likewise n(b c) / n(b), and then 0.4 * n(c) / N,
 
-A document's score is the sum over its bigrams of log S, and where the bigram is not among the
-rates, of log(0.4) + log(n(b) / N); its first token counts as a unigram. Sums meet per document
-and task before they are shuffled. The bigram table is broadcast only while its number of rows
-is at most `broadcast_rows`; beyond that the join shuffles both sides by gram.
+and a token that no other document holds is 0.4 of one occurrence. A document's score is the sum
+of the logarithms; its first token starts at order 1, its second at order 2.
+
+A row for each pair of document and n-gram would be ten times the input on the wire. So the join
+of exploded n-grams to the count tables is by blocks and partitions:
+
+* blocks (block, doc_id, n, ids): whole documents, about BLOCK tokens together, encoded once.
+* asked (block, part, grams, counts): the distinct n-grams of a block, dealt by their hash into
+  partitions of the count tables, packed (sorted differences, byte planes, zstd).
+* told (block, part, totals): each partition sums its counts and answers every block.
+* Each block, with its answers, scores its documents.
+
+An n-gram that every document holds is one entry a block, so no partition is hot. A partition
+holds about PART entries and a block about BLOCK tokens, whatever the corpus.
 
 Defined results: a null or empty text has no tokens, a log-probability of 0 and a null mean;
-repeated rows count as often as they stand there and score the same; a null doc_id is an id
-like any other; an empty table gives no rows; extra columns are not read.
+each row is a document of its own, also where ids or whole rows repeat (a repeated row finds its
+n-grams in its copies); a null doc_id is an id like any other; a block is never smaller than its
+longest document; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,99 +33,169 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from ._common import column, raw, rows_of, stored
 from .tokens import VOCABULARY, word_cache
 
-#: Ids take 16 bits: a bigram (a, b) is PAIR + a * 2^16 + b.
-SHIFT = 16
-PAIR = 1 << 32
 BACKOFF = 0.4
+BLOCK, BLOCK_ROWS, PART = 2_000_000, 100_000, 1_500_000
+#: Tokens take 16 bits; the order of an n-gram stands above the 48 bits of three.
+SHIFT, ORDER = 16, 48
+
 
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers, the same bytes of all of them together, compressed."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct unigrams and bigrams of a token sequence (uint16), with their counts."""
-    one, n1 = np.unique(ids, return_counts=True)
-    wide = ids.astype(np.uint32)
-    two, n2 = np.unique((wide[:-1] << SHIFT) | wide[1:], return_counts=True)
-    return np.concatenate([one.astype(np.int64), two.astype(np.int64) + PAIR]), np.concatenate([n1, n2])
 
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1)
 
-def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, row, ids) of docs (doc_id, row, text): the tokens of each text, two bytes each."""
+
+def blocks(docs: DataFrame, tokenizer: str | None = None, size: int = BLOCK) -> DataFrame:
+    """(block, doc_id, n, ids): docs (doc_id, text) in blocks, with the ids of all their tokens."""
     if VOCABULARY > 1 << SHIFT:
         raise ValueError("the vocabulary does not fit the ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_cache(tokenizer)
-        for b in batches:
-            ids = [np.frombuffer(words.ids(t), "<u4").astype("<u2").tobytes() for t in raw(b, "text")]
-            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "row"), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
+        at = TaskContext.get().partitionId() << 32
+        who, ids, held = [], [], 0
 
-    shape = docs.select("doc_id", "row").withColumn("ids", F.lit(None).cast("binary")).schema
-    return docs.select("doc_id", "row", "text").mapInArrow(run, shape)
+        def block() -> pa.RecordBatch:
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(ids))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([who], pa.list_(pa.int64())), pa.array([[len(x) // 2 for x in ids]], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["block", "doc_id", "n", "ids"])
 
-
-def exploded(tokens: DataFrame) -> DataFrame:
-    """(row, gram, n, first): the grams of each row that has tokens; `first` is true on the
-    unigram of its first token."""
+        for b in batches:
+            for i, t in zip(column(b, "doc_id").to_pylist(), raw(b, "text"), strict=True):
+                who.append(i)
+                ids.append(np.frombuffer(words.ids(t), "<u4").astype("<u2").tobytes())
+                held += len(ids[-1]) // 2
+                if held >= size or len(who) >= BLOCK_ROWS:
+                    yield block()
+                    at, who, ids, held = at + 1, [], [], 0
+        if who:
+            yield block()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, doc_id array<long>, n array<long>, ids binary")
+
+
+class Grams:
+    """The n-grams of a block: for each order its places in the block, their distinct n-grams
+    and, for each place, which of them it is."""
+
+    def __init__(self, ids: bytes, n: np.ndarray):
+        self.x = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), "<u2").astype(np.uint64)
+        self.doc = np.repeat(np.arange(len(n)), n)
+        x, d = self.x, self.doc
+        self.places = [np.arange(len(x)), np.flatnonzero(d[1:] == d[:-1]) + 1, np.flatnonzero(d[2:] == d[:-2]) + 2]
+        self.distinct, self.which, self.counts = [], [], []
+        for order, at in enumerate(self.places):
+            g = x[at]
+            for back in range(1, order + 1):
+                g = g | (x[at - back] << np.uint64(SHIFT * back))
+            u, w, c = np.unique(g, return_inverse=True, return_counts=True)
+            self.distinct.append(u | np.uint64(order << ORDER))
+            self.which.append(w)
+            self.counts.append(c)
+
+    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All distinct n-grams in the order of their partitions: (place before dealing, n-gram,
+        count, partition)."""
+        g, c = np.concatenate(self.distinct), np.concatenate(self.counts)
+        with np.errstate(over="ignore"):
+            h = (g ^ (g >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        part = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+        return order, g[order], c[order], part[order]
+
+    def own(self, order: int) -> np.ndarray:
+        """For each place of an order, how often its document holds its n-gram."""
+        key = self.doc[self.places[order]].astype(np.uint64) * np.uint64(len(self.distinct[order]) or 1) + self.which[order].astype(np.uint64)
+        _, w, c = np.unique(key, return_inverse=True, return_counts=True)
+        return c[w]
+
+
+def asked(held: DataFrame, parts: int) -> DataFrame:
+    """(block, part, grams, counts): the distinct n-grams of each block, by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, size = [], 0
-            for r, t in zip(column(b, "row").to_pylist(), raw(b, "ids"), strict=True):
-                ids = np.frombuffer(t, "<u2")
-                if not len(ids):
+            for block, n, ids in zip(column(b, "block").to_pylist(), column(b, "n").to_pylist(), column(b, "ids").to_pylist(), strict=True):
+                _, g, c, part = Grams(ids, np.array(n, np.int64)).dealt(parts)
+                if not len(g):
                     continue
-                g, c = grams(ids)
-                out.append((np.full(len(g), r, np.int64), g, c, g == ids[0]))
-                size += len(g)
-                if size > 500_000:
-                    yield _batch(out)
-                    out, size = [], 0
-            if out:
-                yield _batch(out)
-
-    return tokens.select("row", "ids").mapInArrow(run, "row long, gram long, n long, first boolean")
-
-
-def _batch(parts: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["row", "gram", "n", "first"])
-
-
-def score(docs: DataFrame, min_count: int = 2, broadcast_rows: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_prob, mean_log_prob) for every row of docs, by the counts of docs."""
-    # Equal (doc_id, text) rows share a number: they are scored together, divided by their copies.
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("row"))
-    tokens = stored(tokenized(keyed, tokenizer), "tokens")
-    found = exploded(tokens)
-    counts = stored(found.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    singles = counts.where(F.col("gram") < PAIR)
-    total = singles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # At most VOCABULARY rows: bounded by the tokenizer, whatever the corpus.
-    one = F.broadcast(singles.select(F.col("gram").alias("token"), F.col("n").alias("n1")))
-    pairs = counts.where((F.col("gram") >= PAIR) & (F.col("n") >= min_count)).withColumn("context", F.shiftright(F.col("gram") - PAIR, SHIFT))
-    rates = stored(pairs.join(one, pairs["context"] == one["token"]).select(F.col("gram").alias("pair"), (F.log("n") - F.log("n1")).alias("log_s")), "rates")
-    if rates.count() <= broadcast_rows:
-        rates = F.broadcast(rates)
-    last = F.col("gram").bitwiseAND((1 << SHIFT) - 1)
-    joined = found.withColumn("token", last).join(one, "token").join(rates, F.col("gram") == F.col("pair"), "left")
-    unigram = F.log("n1") - F.log(F.lit(float(max(total, 1))))
-    bigram = F.coalesce("log_s", F.log(F.lit(BACKOFF)) + unigram)
-    is_one = F.col("gram") < PAIR
-    part = F.when(is_one, F.when(F.col("first"), unigram).otherwise(0.0)).otherwise(F.col("n") * bigram)
-    sums = joined.groupBy("row").agg(F.sum(part).alias("s"))
-    rows = tokens.select("doc_id", "row", F.shiftright(F.octet_length("ids"), 1).cast("long").alias("n_tokens"))
-    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    per_row = sums.join(copies, "row").select("row", (F.col("s") / F.col("copies")).alias("log_prob"))
-    out = rows.join(per_row, "row", "left")
-    return out.select("doc_id", "n_tokens", F.round(F.coalesce("log_prob", F.lit(0.0)), 6).alias("log_prob"), F.round(F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")), 9).alias("mean_log_prob"))
+                which, start = np.unique(part, return_index=True)
+                packed = [(pack(np.diff(x, prepend=np.uint64(0))), pack(y)) for x, y in zip(np.split(g, start[1:]), np.split(c, start[1:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), block, np.int64)), pa.array(which), pa.array([x for x, _ in packed], pa.binary()), pa.array([y for _, y in packed], pa.binary())], names=["block", "part", "grams", "counts"])
+
+    return held.select("block", "n", "ids").mapInArrow(run, "block long, part int, grams binary, counts binary")
+
+
+def totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One partition of the count tables: the sums of its n-grams, told to every block that asked."""
+    grams = [np.cumsum(unpack(x), dtype=np.uint64) for x in rows.grams]
+    _, which = np.unique(np.concatenate(grams), return_inverse=True)
+    n = np.bincount(which, np.concatenate([unpack(x) for x in rows["counts"]])).astype(np.uint64)
+    told = np.split(n[which], np.cumsum([len(x) for x in grams])[:-1])
+    return pd.DataFrame({"block": rows.block, "part": rows.part, "totals": [pack(x) for x in told]})
+
+
+def log_probs(grams: Grams, total: np.ndarray, n_docs: np.ndarray, corpus: int) -> np.ndarray:
+    """The log-probability of each document of a block. `total` holds the corpus's counts of the
+    block's distinct n-grams, order after order; n_docs the documents' numbers of tokens."""
+    elsewhere, n = [], len(grams.x)
+    for order, t in enumerate(np.split(total.astype(np.int64), np.cumsum([len(u) for u in grams.distinct])[:-1])):
+        out = np.zeros(n, np.int64)
+        out[grams.places[order]] = t[grams.which[order]] - grams.own(order)
+        elsewhere.append(out)
+    rest = corpus - n_docs[grams.doc]
+    score, tries = np.full(n, -np.log(float(max(corpus, 1)))), np.zeros(n)
+    todo = np.ones(n, bool)
+    for order in (2, 1, 0):
+        at = grams.places[order][todo[grams.places[order]]]
+        context = elsewhere[order - 1][at - 1] if order else rest[at]
+        hit = elsewhere[order][at] > 0
+        score[at[hit]] = np.log(elsewhere[order][at[hit]]) - np.log(context[hit])
+        todo[at[hit]] = False
+        tries[at[~hit]] += 1
+    return np.bincount(grams.doc, score + tries * np.log(BACKOFF), len(n_docs))
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, block: int = BLOCK, part: int = PART) -> DataFrame:
+    """(doc_id, n_tokens, mean_log_prob, log_prob) for every row of docs, by the counts of its
+    other rows."""
+    held = stored(blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), tokenizer, block), "blocks")
+    corpus = held.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0)).alias("n")).first()["n"]
+    # About two thirds of a block's tokens are distinct n-grams of it.
+    parts = max(16, -(-corpus // (part * 3 // 2)))
+    told = asked(held, parts).groupBy("part").applyInPandas(totals, "block long, part int, totals binary")
+
+    def run(of: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in of.iterrows():
+            n = np.asarray(row["n"], np.int64)
+            grams = Grams(row["ids"], n)
+            order, _, _, _ = grams.dealt(parts)
+            total = np.zeros(len(order), np.uint64)
+            if len(order):
+                total[order] = np.concatenate([unpack(x) for x in answers.sort_values("part")["totals"]])
+            s = log_probs(grams, total, n, corpus)
+            out.append(pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i in row["doc_id"]], "Int64"), "n_tokens": n, "s": s}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "s": []}).astype({"doc_id": "Int64", "n_tokens": "int64", "s": "float64"})
+
+    scored = held.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, "doc_id long, n_tokens long, s double")
+    return scored.select("doc_id", "n_tokens", F.round(F.when(F.col("n_tokens") > 0, F.col("s") / F.col("n_tokens")), 9).alias("mean_log_prob"), F.round("s", 6).alias("log_prob"))
 
 
 def op4_stupid_backoff(spark, sf_dir: str) -> DataFrame:
-    """Whole `documents`, scored by the unigram and bigram counts of all of them; a bigram seen
-    once has its own rate too."""
-    return score(rows_of(spark, sf_dir, "documents").select("doc_id", "text"), min_count=1)
+    """Whole `documents`, each scored by the n-grams, up to three tokens, of all others."""
+    return score(rows_of(spark, sf_dir, "documents").select("doc_id", "text"))

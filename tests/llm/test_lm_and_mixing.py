@@ -1,8 +1,11 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
+from conftest import sentence
 from llm_helpers import collected, oracle, rows_of
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -10,52 +13,71 @@ from tokenizers import Tokenizer
 from lodestrata.llm import backoff_lm, mixing
 
 
-def brute_scores(rows, min_count=2):
+def brute_scores(rows):
+    """By dictionaries: each document by the counts of all others, orders 3, 2 and 1."""
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = [t.encode(x or "", add_special_tokens=False).ids for _, x in rows]
-    one, two = Counter(), Counter()
-    for x in ids:
-        one.update(x)
-        two.update(zip(x, x[1:]))
-    total = sum(one.values())
+    count = lambda x: Counter(tuple(x[i : i + k]) for k in (1, 2, 3) for i in range(len(x) - k + 1))
+    own = [count(x) for x in ids]
+    all_ = Counter()
+    for c in own:
+        all_.update(c)
+    total = sum(map(len, ids))
     out = []
-    for (i, _), x in zip(rows, ids):
-        s = math.log(one[x[0]] / total) if x else 0.0
-        for a, b in zip(x, x[1:]):
-            s += math.log(two[a, b] / one[a]) if two[a, b] >= min_count else math.log(0.4 * one[b] / total)
+    for (i, _), x, mine in zip(rows, ids, own):
+        s = 0.0
+        for at in range(len(x)):
+            for k in range(min(3, at + 1), -1, -1):
+                if not k:
+                    s += math.log(1 / total)
+                    break
+                g = tuple(x[at - k + 1 : at + 1])
+                if (n := all_[g] - mine[g]) > 0:
+                    s += math.log(n / (all_[g[:-1]] - mine[g[:-1]] if k > 1 else total - len(x)))
+                    break
+                s += math.log(0.4)
         out.append((str(i), len(x), round(s, 4)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("broadcast_rows", [2_000_000, 0])
-def test_scores(hostile, empty, broadcast_rows):
-    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 4)) for r in backoff_lm.score(hostile, broadcast_rows=broadcast_rows).collect())
-    want = brute_scores(rows_of(hostile))
+def lm_rows(df):
+    return sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 4)) for r in df.collect())
+
+
+def agree(got, want):
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
+
+
+@pytest.mark.parametrize(("block", "part"), [(2_000_000, 1_500_000), (50, 40)])
+def test_scores(hostile, empty, block, part):
+    got = backoff_lm.score(hostile, block=block, part=part)
+    agree(lm_rows(got), brute_scores(rows_of(hostile)))
+    assert all((r["mean_log_prob"] is None) == (r["n_tokens"] == 0) for r in got.collect())
     assert backoff_lm.score(empty).count() == 0
 
 
 def test_documents(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 4)) for r in backoff_lm.op4_stupid_backoff(spark, sf).collect())
-    assert [g[2] for g in got] == pytest.approx([w[2] for w in brute_scores(rows_of(docs))], abs=2e-3)
+    agree(lm_rows(backoff_lm.op4_stupid_backoff(spark, sf)), brute_scores(rows_of(spark.read.parquet(f"{sf}/documents.parquet"))))
+
+
+def test_ids_and_texts_that_look_alike(spark):
+    """A row is a document by its place, not by a hash of its id and text."""
+    rows = [(5, None), (None, "5"), (5, "5 5 6"), (5, "5 5 6"), (5, ""), (6, "6 5 5"), (None, None)]
+    agree(lm_rows(backoff_lm.score(spark.createDataFrame(rows, "doc_id long, text string"))), brute_scores(rows))
 
 
-@pytest.mark.parametrize("broadcast_rows", [2_000_000, 0])
-def test_every_bigram_counts(hostile, broadcast_rows):
-    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 4)) for r in backoff_lm.score(hostile, min_count=1, broadcast_rows=broadcast_rows).collect())
-    assert [g[2] for g in got] == pytest.approx([w[2] for w in brute_scores(rows_of(hostile), min_count=1)], abs=2e-3)
+def test_a_document_that_occurs_twice_scores_apart(spark):
+    rng = random.Random(3)
+    texts = [sentence(rng, 40) for _ in range(20)]
+    got = backoff_lm.score(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")).collect()
+    twice = [r["mean_log_prob"] for r in got if r["doc_id"] in (0, 20)]
+    assert min(twice) > max(r["mean_log_prob"] for r in got if r["doc_id"] not in (0, 20))
 
 
-def test_query_keeps_bigrams_seen_once(spark, tmp_path):
-    """The query backs off only where the count is zero, and no bigram of its own text has that."""
-    rows = [(1, "one two three four five six"), (2, "six five four three two one"), (3, "one two"), (4, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["log_prob"], 4)) for r in backoff_lm.op4_stupid_backoff(spark, str(tmp_path)).collect())
-    whole, cut = brute_scores(rows, min_count=1), brute_scores(rows, min_count=2)
-    assert [g[2] for g in got] == pytest.approx([w[2] for w in whole], abs=2e-3)
-    assert [w[2] for w in whole] != pytest.approx([w[2] for w in cut], abs=2e-3)
+def test_packing_of_numbers():
+    a = np.array([0, 1, 255, 256, 2**48 + 5, 2**63], np.uint64)
+    assert (backoff_lm.unpack(backoff_lm.pack(a)) == a).all() and len(backoff_lm.unpack(backoff_lm.pack(a[:0]))) == 0
 
 
 def corpus(spark):
