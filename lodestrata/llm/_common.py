@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_dir, stored, table
 
-__all__ = ["WS", "WS_CLASS", "column", "fresh", "held_out", "new_dir", "raw", "rows_of", "stored"]
+__all__ = ["WS", "WS_CLASS", "column", "fresh", "held_out", "new_dir", "raw", "rows_of", "sampled", "stored"]
 
 #: The white space of every contract: blank, tab, line feed, vertical tab, form feed, return.
 #: It is what bytes.split() and bytes.strip() treat as white space.
@@ -46,3 +46,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             n += "_"
         out.append(n)
     return out
+
+
+def sampled(rows: DataFrame, n: int, key: str = "key") -> DataFrame:
+    """n distinct rows, or all if fewer, by the hash of their columns: the same for any layout of
+    the table. The hash is added as `key`. Only hashes are ordered, so no task gathers texts, and
+    however often a row repeats, the bound holds."""
+    keyed = rows.withColumn(key, F.xxhash64(*rows.columns))
+    cut = keyed.select(key).distinct().orderBy(key).limit(n).agg(F.max(key).alias("top")).first()["top"]
+    return keyed.where(F.col(key) <= F.lit(cut).cast("long")).dropDuplicates([key])

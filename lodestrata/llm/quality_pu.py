@@ -6,16 +6,16 @@ text's style. The risk is the non-negative unbiased estimator of Kiryo et al. (2
     pi * E_P[l(z)] + max(0, E_U[l(-z)] - pi * E_P[l(-z)])
 
 with the logistic loss l and the class prior pi. Where the bracket falls below zero, the step
-goes against its gradient. The prior is estimated from the labelled rows of the training folds
-when the labels mark both classes, and otherwise by the positives' lower quantile of a first
-model's odds (`estimate_prior`).
+goes against its gradient. The prior is estimated from the positives and the unlabelled rows
+(`estimate_prior`). Negative labels are never read.
 
-The classifier fits on a bounded sample: `n_positive` and `n_unlabelled` rows with the smallest
-hash of their id (parameters, 6,000 and 12,000). Scoring covers every row and its whole text.
+The classifier fits on a bounded sample: `n_positive` and `n_unlabelled` rows (parameters, 6,000
+and 12,000) by the hash of their columns. Scoring covers every row and its whole text.
 
 Defined results: a null text counts as empty and gets the score of an empty text; repeated rows
-get equal scores; with no positives in the training folds every score is the prior (0.5 if that
-is unknown too); an empty table gives no rows; extra columns are not read.
+get equal scores; with no positive or no row in the training folds every score is 0.5, or the
+prior where one is given; an empty table gives no rows; extra columns are not read, and pass
+through `accepted`.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column, held_out, raw, rows_of
+from ._common import column, held_out, raw, rows_of, sampled
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -121,20 +121,25 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return Model(w, float(b), mean, scale, prior)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, low: float = 0.05) -> float:
-    """Share of positives among the unlabelled without any negative: a model that tells the two
-    samples apart gives odds u/p; where that is lowest, unlabelled rows are positives only, and
-    there the share of unlabelled over the share of positives is the prior."""
-    model = fit_nnpu(positive, unlabelled, 0.5, epochs=150)
-    sp, su = model.score(positive), model.score(unlabelled)
-    cut = np.quantile(sp, [0.3, 0.4, 0.5, 0.6, 0.7])
-    ratios = [(su >= c).mean() / max((sp >= c).mean(), 1e-9) for c in cut]
-    return float(np.clip(min(ratios), low, 0.98))
-
-
-def _sample(rows: DataFrame, n: int) -> DataFrame:
-    """n ids, by the hash of the id: the same for any layout of the table."""
-    return rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, low: float = 0.05, sure: float = 0.1) -> float:
+    """Share of positives among the unlabelled without any negative, by the best bin of a
+    classifier's scores: above a cut that nearly no negative reaches, the share of unlabelled rows
+    over the share of positives is the prior. The cut is the one with the least upper confidence
+    bound of that ratio. Each half is scored by a model of the other half, since a model's own
+    positives score higher than other positives do."""
+    halves = lambda x: (x[::2], x[1::2]) if len(x) > 1 else (x, x)
+    (p0, p1), (u0, u1) = halves(positive), halves(unlabelled)
+    ratios = []
+    for (p, u), (q, v) in (((p0, u0), (p1, u1)), ((p1, u1), (p0, u0))):
+        model = fit_nnpu(p, u, 0.5, epochs=150)
+        sp, su = np.sort(model.score(q)), np.sort(model.score(v))
+        cut = np.unique(np.quantile(sp, np.linspace(0, 0.95, 96)))
+        above_p = 1 - np.searchsorted(sp, cut, "left") / len(sp)
+        above_u = 1 - np.searchsorted(su, cut, "left") / len(su)
+        slack = np.sqrt(np.log(4 / sure) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+        best = np.argmin((above_u + slack) / above_p)
+        ratios.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(ratios), low, 0.98))
 
 
 def featurised(docs: DataFrame) -> DataFrame:
@@ -149,25 +154,18 @@ def featurised(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, n_positive: int = 6000, n_unlabelled: int = 12000, prior: float | None = None) -> Model | float:
-    """A model from labels (doc_id, quality) and docs (doc_id, text), both of training folds
-    only. A plain number, the score of every row, if there is no positive."""
-    known = labels.where(F.col("quality").isNotNull())
-    counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("p")).first()
-    if prior is None and counts["n"]:
-        prior = counts["p"] / counts["n"]
-    ids = _sample(known.where("quality = 1"), n_positive).withColumn("kind", F.lit("p")).unionByName(_sample(docs, n_unlabelled).withColumn("kind", F.lit("u")))
-    # At most n_positive + n_unlabelled ids: a bound that the parameters set.
-    kinds = F.broadcast(ids.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds")))
-    got = featurised(docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")).join(kinds, "doc_id").select("kinds", "features").collect()
-    p = np.array([r["features"] for r in got if "p" in r["kinds"]]).reshape(-1, len(FEATURES))
-    u = np.array([r["features"] for r in got if "u" in r["kinds"]]).reshape(-1, len(FEATURES))
-    if not len(p) or not len(u):
+    """A model from the positives among labels (doc_id, quality) and from docs (doc_id, text), both
+    of training folds only. A plain number, the score of every row, if there is no positive."""
+    docs = docs.select("doc_id", "text")
+    # n_positive ids at most, whatever the labels: broadcast by that bound.
+    trusted = F.broadcast(sampled(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), n_positive).select("doc_id"))
+    positive, unlabelled = (
+        np.array(sorted(r["features"] for r in featurised(rows).collect())).reshape(-1, len(FEATURES))  # n rows of features at most
+        for rows in (sampled(docs.join(trusted, "doc_id", "left_semi"), n_positive), sampled(docs, n_unlabelled))
+    )
+    if not len(positive) or not len(unlabelled):
         return 0.5 if prior is None else float(prior)
-    if prior is None or prior >= 0.999:
-        prior = estimate_prior(p, u)
-    if prior <= 0.001:
-        return float(prior)
-    return fit_nnpu(p, u, float(prior))
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled) if prior is None else float(prior))
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -207,5 +205,5 @@ def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def op2_pu_quality(spark, sf_dir: str) -> DataFrame:
-    """Whole `documents`; the prior and the model learn from `labels` of two folds in three."""
+    """Whole `documents`; the prior and the model learn from the positives of two folds in three."""
     return classify(rows_of(spark, sf_dir, "documents"), rows_of(spark, sf_dir, "labels"))
