@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WS_CLASS, rows_of, stored
+from ._common import WS_CLASS, fresh, rows_of, stored
 
 STEPS = 1_000_000
 
@@ -124,9 +124,10 @@ def schedule(used: DataFrame, seed: str = "mix") -> DataFrame:
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """The rows of docs, each as many times as it is used; columns as they are."""
-    plan = uses(docs, doc_id=doc_id, source=source, **how).where("uses > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("uses").alias("__uses"))
-    rows = docs.join(plan, docs[source].cast("string").eqNullSafe(F.col("__s")) & docs[doc_id].eqNullSafe(F.col("__d")))
-    return rows.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(*docs.columns)
+    of, which, times, use = fresh(docs, "of", "which", "times", "use")
+    plan = uses(docs, doc_id=doc_id, source=source, **how).where("uses > 0").select(F.col("source").alias(of), F.col("doc_id").alias(which), F.col("uses").alias(times))
+    rows = docs.join(plan, docs[source].cast("string").eqNullSafe(F.col(of)) & docs[doc_id].eqNullSafe(F.col(which)))
+    return rows.withColumn(use, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 LIMIT = 1.25

@@ -3,21 +3,24 @@
 1. Each text becomes its set of distinct word shingles (64-bit hashes) and `TREES * DEPTH`
    MinHash values. Texts with equal sets form a class; only classes go on, each with its least
    doc_id, so that a text copied into a third of all rows is one row from here on.
-2. The forest: tree t has its own DEPTH values. No order is sorted; the prefixes of the fixed
-   depths 2, 4 and 6 are hashed, and classes that share one are in the same region. Classes
-   that share no region of depth 2 with another are done.
-3. First candidates: in each region, each class with the region's least class. The pairs are
-   linear in the classes however large a region is. Candidates whose signatures agree are
-   confirmed on their whole sets, and the links' components are found.
-4. Regions that hold different components still could hide a link. A region of many classes
-   that are alike, but below the threshold, has a square of pairs, so these are not made: the
-   classes of all such regions go through an exact prefix filter instead. Ordered by how many
-   classes hold them, the rarest shingles come first, and two sets can only reach the
-   similarity if they share one among the first few (8 % and 15 % of them at 0.85), with enough
-   left behind it. Shingles inside one component count as unshared. What passes is confirmed.
+2. The forest: tree t has its own DEPTH values, and holds the classes in the order of them. A
+   region is a run of classes that share a prefix; classes that share no prefix of two values
+   with another, in any tree, are done.
+3. Each region is as deep as its size asks: one of at most ROOM classes at a depth of two stays,
+   a denser one is cut at depth three, and so on. The classes of a region of at most ROOM are
+   candidates of each other, neighbours by longest common prefix; a class of a denser region
+   is a candidate of the region's least class at each depth where it is dense. So a class has a
+   bounded number of candidates in each tree. Candidates whose signatures agree are confirmed on
+   their whole sets, and the links' components are found.
+4. A region that was dense at a depth of two may have been cut between two classes that are
+   linked. Where such a region holds different components, and only there, its classes go
+   through an exact prefix filter. Ordered by how many classes hold them, the rarest shingles
+   come first, and two sets can only reach the similarity if they share one among the first few
+   (8 % and 15 % of them at 0.85), with enough left behind it. Shingles inside one component
+   count as unshared. What passes is confirmed.
 5. Components of all confirmed links.
 
-A pair at a similarity of 0.85 shares a region of depth 2 in one of 10 trees or more with
+A pair at a similarity of 0.85 shares a prefix of two values in one of 10 trees or more with
 probability 1 - (1 - 0.85^2)^10 = 0.999997; from there on nothing is left to chance but the
 signatures' agreement (5.4 standard deviations).
 
@@ -41,7 +44,9 @@ from ..operators.components import connected_components
 from ._common import column, raw, stored
 
 TREES, DEPTH = 10, 6
-LEVELS = (2, 4, 6)
+LEVELS = range(2, DEPTH + 1)
+#: Classes of one region that are all candidates of each other; a denser region is cut deeper.
+ROOM = 32
 #: Bitmaps of sets have this many 64-bit words.
 WORDS = 32
 #: Up to so many ids (8 MB) are broadcast to pick their texts; more are joined.
@@ -120,7 +125,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """(id, n, p2, p4, p6), one row for each class and tree; a prefix hash covers the tree's
+    """(id, n, p2 ... p6), one row for each class and tree; a prefix hash covers the tree's
     number, so that regions of different trees never meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,18 +158,34 @@ def _shared(forest: DataFrame) -> DataFrame:
     return forest.join(wide, F.col(key) == F.col("k"), "left_semi")
 
 
-def _first_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class and the least class of each of its regions, if sizes allow."""
-    rows = shared.select("id", "n", F.explode(F.array(*(f"p{d}" for d in LEVELS))).alias("p"))
-    # Stored, so that the join is free to split a region that very many classes share.
-    least = stored(rows.groupBy("p").agg(F.min("id").alias("a"), F.min_by("n", "id").alias("m"), F.count("*").alias("c")).where("c > 1").select("p", "a", "m"), "least")
-    return rows.join(least, "p").where((F.col("id") > F.col("a")) & _sizes_allow("n", "m", percent)).select("a", F.col("id").alias("b")).distinct()
-
-
-def _unsettled(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """(id, part): classes in regions that hold two components or more."""
+def forest_pairs(shared: DataFrame, percent: int, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """(a, b), candidates of the forest, if sizes allow; and the rows of `shared` in regions that
+    are dense at the first depth. A region is gathered only where it holds at most `room`."""
+    rest, pairs, dense_first = shared, [], None
+    for depth in LEVELS:
+        key = f"p{depth}"
+        found = stored(rest.groupBy(key).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a"), F.min_by("n", "id").alias("m")).where("c > 1"), "regions")
+        deeper = [f"p{d}" for d in LEVELS if d > depth]
+        own = rest.join(found.where(F.col("c") <= room).select(key), key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*deeper, "id", "n"))).alias("own"))
+        each = own.select("own", F.posexplode("own").alias("at", "x")).select("x", F.explode(F.expr("slice(own, at + 2, size(own))")).alias("y"))
+        pairs.append(each.where(_sizes_allow("x.n", "y.n", percent)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+        dense = found.where(F.col("c") > room)
+        rest = stored(rest.join(dense.select(key, "a", "m"), key), "dense")
+        pairs.append(rest.where((F.col("id") > F.col("a")) & _sizes_allow("n", "m", percent)).select("a", F.col("id").alias("b")))
+        rest = rest.drop("a", "m")
+        dense_first = rest if dense_first is None else dense_first
+        if rest.isEmpty():
+            break
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    return out.where("a <> b").distinct(), dense_first
+
+
+def _unsettled(dense: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, part): classes in dense regions that hold two components or more."""
     key = f"p{LEVELS[0]}"
-    rows = stored(shared.join(parts, shared["id"] == parts["vertex"], "left").select("id", F.coalesce("component", "id").alias("part"), F.col(key).alias("p")), "parts")
+    rows = stored(dense.join(parts, dense["id"] == parts["vertex"], "left").select("id", F.coalesce("component", "id").alias("part"), F.col(key).alias("p")), "parts")
     mixed = stored(rows.groupBy("p").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("p"), "mixed")
     return rows.join(mixed, "p").select("id", "part").distinct()
 
@@ -291,8 +312,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = stored(own.join(ids, own["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text"), "texts")
 
-    first = stored(_confirmed(stored(_agreeing(_first_pairs(shared, percent), classes, percent), "pairs"), texts, percent, k), "links")
-    open_ = _unsettled(shared, connected_components(first))
+    pairs, dense = forest_pairs(shared, percent)
+    first = stored(_confirmed(stored(_agreeing(pairs, classes, percent), "pairs"), texts, percent, k), "links")
+    open_ = _unsettled(dense, connected_components(first))
     second = stored(_second_pairs(stored(texts.join(open_, "id"), "unsettled"), percent, k), "pairs")
     tried = stored(_best_pairs(second), "tried")
     found = first.unionByName(stored(_confirmed(tried, texts, percent, k), "links"))

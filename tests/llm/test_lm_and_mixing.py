@@ -132,6 +132,13 @@ def test_hostile_mixing(hostile, empty):
         mixing.uses(hostile, limit=None)
 
 
+def test_mixing_passes_columns_of_any_name(spark):
+    df = corpus(spark).selectExpr("*", "1 as __of", "2 as __use", "3 as __times", "'x' as uses", "4 as block")
+    out = mixing.mixed(df, limit=1.5, cover=True)
+    assert out.columns == df.columns and out.select("doc_id").distinct().count() == 600
+    assert out.where("__of <> 1 or __use <> 2 or __times <> 3 or uses <> 'x' or block <> 4").isEmpty()
+
+
 def test_mixing_is_native_and_equals_sql(spark, sf):
     df = mixing.op5_temperature_mixing(spark, sf)
     assert collected(df) == oracle(sf, mixing.OP5_SQL)

@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import WORDS, sentence
 from llm_helpers import collected, oracle, rows_of
+from pyspark.sql import functions as F
 
 from lodestrata.llm import near_dedup as nd
 
@@ -72,6 +73,30 @@ def test_clouds_of_copies(spark, percent):
     check(spark.createDataFrame(rows, "doc_id long, text string"), percent)
 
 
+def test_forest_alone_finds_links(spark, monkeypatch):
+    """Recall of the forest's candidates against all linked pairs, with dense regions cut deeper; and
+    classes of regions that are not dense never reach the exact filter."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(40):
+        base = sentence(rng, 150).split()
+        rows += [varied(rng, base, rng.randint(0, 3)) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [shingle_set(t) for t in rows]
+    linked = {(x, y) for y in range(len(sets)) for x in range(y) if sets[x] != sets[y] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])}
+    signed = nd.signatures(df)
+    classes = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    shared = nd._shared(nd.regions(classes)).cache()
+    for room, least in ((32, 0.999), (4, 0.9)):
+        pairs, dense = nd.forest_pairs(shared, 85, room)
+        got = {(r["a"], r["b"]) for r in pairs.collect()}
+        first = {i for i, _ in linked}
+        assert len(linked) > 150 and len(got & linked) >= least * len([p for p in linked if {*p} <= {r["id"] for r in classes.select("id").collect()}])
+        assert len(got) < 3 * len(linked) and first and dense.isEmpty() == (room == 32)
+    monkeypatch.setattr(nd, "_second_pairs", lambda texts, percent, k: spark.createDataFrame([(r["id"], r["id"], 1) for r in texts.collect()], "a long, b long, common long"))
+    check(df)
+
+
 def test_hostile(hostile, empty):
     check(hostile)
     assert nd.near_duplicates(empty).count() == 0
