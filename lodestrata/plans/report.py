@@ -16,22 +16,20 @@ def fmt_p(p: float) -> str:
     return "p < 0.001" if p < 0.001 else f"p = {p:.3f}"
 
 
-def axis_end(v: float, steps: tuple[float, ...] = (0.01, 0.02, 0.05, 0.1, 0.2, 0.25), ticks: int = 6) -> tuple[float, float]:
-    """The end and the step of an axis that holds v with few round ticks."""
-    for step in steps:
-        n = math.ceil(v / step - 1e-9)
-        if n <= ticks:
-            return n * step, step
-    return 1.0, 0.25
+def axis(v: float, most: int = 6) -> tuple[float, float]:
+    """(end, step) of an axis from 0 that holds v: the least step of one, two or five times a power
+    of ten that takes at most so many steps."""
+    if v <= 0:
+        return 1.0, 0.25
+    power = 10.0 ** math.floor(math.log10(v / most))
+    step = next(m * power for m in (1, 2, 5, 10) if v <= most * m * power * (1 + 1e-9))
+    return math.ceil(v / step - 1e-9) * step, step
 
 
-def reviewers_note(names: list[str]) -> str:
-    known = list(dict.fromkeys(names))
-    if not known:
-        return "Reviewer not recorded."
-    if len(known) == 1:
-        return f"One reviewer ({known[0]})."
-    return f"{len(known)} reviewers ({', '.join(known)}); results not split per reviewer."
+def judged_by(names: list[str]) -> str:
+    """Who reviewed, each person once."""
+    people = sorted(set(names))
+    return "Judged by " + (", ".join(people) if people else "an unknown reviewer") + ("; their verdicts are counted together." if len(people) > 1 else ".")
 
 
 def verdict_sentence(label: str, rate: float, limit: float, accepted: bool, complete: bool) -> str:
@@ -41,7 +39,7 @@ def verdict_sentence(label: str, rate: float, limit: float, accepted: bool, comp
 
 def interval_chart(rows: list[dict], width: int = 640) -> str:
     """Rows of {label, rate, low, high} as whiskers with a dot; an inline SVG."""
-    top, step = axis_end(max((r["high"] for r in rows), default=0.0))
+    top, step = axis(max((r["high"] for r in rows), default=0.0))
     x = lambda v: 160 + (width - 190) * min(v / top, 1.0) if top else 160
     height = 30 * len(rows) + 30
     out = [f'<svg viewBox="0 0 {width} {height}" role="img" aria-label="error rates">']
@@ -92,7 +90,7 @@ def error_report(stats: list[dict], categories: list[dict], limit: float, review
         ("Categories", table(categories, ["category", "k", "n", "rate", "low", "high"])),
         ("Estimates for the whole set", table(stats, ["label", "population", "estimates"])),
         ("Settings", table([{"setting": k, "value": v} for k, v in sorted(settings.items())], ["setting", "value"])),
-        ("Caveats", "".join(f"<p>{html.escape(c)}</p>" for c in [reviewers_note(reviewers), *caveats])),
+        ("Caveats", "".join(f"<p>{html.escape(c)}</p>" for c in [judged_by(reviewers), *caveats])),
     ]
     return page("Error report", sections, footer)
 
@@ -107,6 +105,6 @@ def compare_report(stats: list[dict], transitions: list[dict], reviewers: list[s
         ("Test", table([{"domain": s["label"], "p": fmt_p(s["p"])} for s in stats], ["domain", "p"])),
         ("Categories", table(transitions, ["category", "before", "after", "gone", "kept", "new"])),
         ("Scaling", table(stats, ["label", "changed", "compared", "est_fixed", "est_broken_max", "expected"])),
-        ("Caveats", "".join(f"<p>{html.escape(c)}</p>" for c in [reviewers_note(reviewers), *caveats])),
+        ("Caveats", "".join(f"<p>{html.escape(c)}</p>" for c in [judged_by(reviewers), *caveats])),
     ]
     return page("Compare report", sections, footer)

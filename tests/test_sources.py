@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def test_own_labels(spark, tmp_path):
     own = tables.own_labels(spark, path, "specimen")
     assert own.columns == ("file_name", "specimen", "note")
     assert [tuple(r) for r in own.rows.orderBy("file_name").collect()] == [("x/a.jpg", "s1", 'he said "hi", twice'), ("x/b.jpg", "", "")]
-    for text, why in (("a,b\n1,2\n", "no file_name"), ("file_name,c,c\n1,2,3\n", "twice"), ("file_name,label_drop\n1,2\n", "reserved"), ("file_name,\n1,2\n", "without a name"), ("file_name\n1\n", "specimen")):
+    for text, why in (("a,b\n1,2\n", "file_name is missing"), ("file_name,c,c\n1,2,3\n", "c stands more than once"), ("file_name,label_drop\n1,2\n", "label_drop is kept"), ("file_name,\n1,2\n", "2 has no name"), ("file_name\n1\n", "specimen")):
         with pytest.raises(InputError, match=why):
             tables.own_labels(spark, write(tmp_path / "bad.csv", text), "specimen" if why == "specimen" else "none")
 
@@ -102,12 +104,56 @@ def test_csv_round_trip_and_resume(spark, tmp_path):
     assert sinks.input_hash(df) == sinks.input_hash(df.repartition(3)) != sinks.input_hash(df.where("ok"))
 
 
-def test_review_config():
-    cfg = {"review": {"categories": [{"name": "bleed", "text": "spills"}], "max_rate": 0.1}, "domains": {"photo": {"label": "Photos"}, "xray": None}}
-    assert tables.review_config(cfg)["labels"] == {"photo": "Photos", "xray": "xray"}
-    for bad, why in (({}, "no review.categories"), ({"review": {"categories": [{"name": "B", "text": "x"}], "max_rate": 1}}, "lower-case"), ({"review": {"categories": [{"name": "b"}], "max_rate": 1}}, "no text"), ({"review": {"categories": [{"name": "b", "text": "x"}]}}, "max_rate"), ({"review": {"categories": [{"name": f"c{i}", "text": "x"} for i in range(10)], "max_rate": 1}}, "at most")):
+def test_review_configuration():
+    fix = {"setting": "margin", "turn": "up", "cost": "time"}
+    cfg = {"review": {"categories": [{"name": "bleed", "text": "spills", "fixes": [fix]}, {"name": "cut_2", "text": "cut"}], "max_rate": 0.1, "caveats": ["few"]}, "domains": {"photo": {"label": "Photos"}, "xray": None}}
+    review = tables.Review.of(cfg)
+    assert review.labels == {"photo": "Photos", "xray": "xray"} and review.names == ["bleed", "cut_2"] and review.caveats == ("few",) and review.max_rate == 0.1
+    part = lambda *cats, **more: {"review": {"categories": list(cats), "max_rate": 0.1} | more}
+    one = {"name": "b", "text": "x"}
+    for bad, why in (
+        ({}, "review is missing"), (part(), "one to 9"), (part(one | {"name": "B"}), "lower-case"), (part({"name": "b"}), r"categories\[0\].text is missing"), (part(one, one), "different names"),
+        ({"review": {"categories": [one]}}, "max_rate is missing"), (part(one, max_rate=2), "between 0 and 1"), (part(*[one | {"name": f"c{i}"} for i in range(10)]), "one to 9"), (part(one | {"fixes": [fix | {"cost": None}]}), "cost is missing"), (part("b"), "not a mapping"),
+    ):
         with pytest.raises(InputError, match=why):
-            tables.review_config(bad)
+            tables.Review.of(bad)
+
+
+NASTY = ["", " ", "\t x", "a\tb", 'say "hi"', '"', "two\nlines", "\u00a0edge\u2003", "#no comment", "it's", "a,b", "\x1cend\x1f", "é 😀"]
+
+
+@pytest.mark.parametrize("sep", ["\t", ","])
+def test_fields_are_read_as_python_reads_them(spark, tmp_path, sep):
+    rng = random.Random(sep)
+    rows = [[rng.choice(NASTY) + rng.choice(NASTY) for _ in range(3)] + [f"k{i}"] for i in range(200)]
+    path = tmp_path / "t.csv"
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        csv.writer(f, delimiter=sep, lineterminator="\n").writerows([["a", "b", "c", "file_name"], *rows])
+    with open(path, encoding="utf-8", newline="") as f:
+        want = [tuple(x.strip() for x in r) for r in list(csv.reader(f, delimiter=sep))[1:]]
+    got = tables.sheet(spark, str(path), ["a", "b", "c", "file_name"]).orderBy("pos").drop("pos") if sep == "\t" else tables.own_labels(spark, str(path)).rows
+    assert [tuple(r) for r in got.collect()] == want
+
+
+def test_lists_strip_all_white_space(spark, tmp_path):
+    path = write(tmp_path / "n.txt", "\ufeffa.jpg\t\r\n\t\r\n\u00a0b.jpg \x0b\n")
+    assert [r["name"] for r in tables.name_list(spark, path).orderBy("pos").collect()] == ["a.jpg", "b.jpg"]
+    path = write(tmp_path / "d.txt", "a.jpg \twhy\x0c\r\n\t\r\nb.jpg\u2003\n")
+    assert {r["key"]: r["reason"] for r in tables.drop_list(spark, path).collect()} == {"a.jpg": "why", "b.jpg": "dropped"}
+
+
+def test_large_log_is_read_in_blocks(spark, tmp_path):
+    """Order holds over the blocks of a file that several tasks read."""
+    n = 30_000
+    path = write(tmp_path / "r.jsonl", "\n".join(line(f"f{i % 500}", reason=str(i)) for i in range(n)) + "\n" + '{"torn')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        assert tables.numbered_lines(spark, path).rdd.getNumPartitions() > 5
+        got = {r["file_name"]: int(r["reason"]) for r in tables.records(spark, path, "repair").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {f"f{i}": n - 500 + i for i in range(500)}
 
 
 def test_inference(spark):
@@ -155,6 +201,6 @@ def test_reports():
     assert html.count("<section>") == 8 and "&lt;b&gt;" in html and "<b>" not in html and "accepted" in html
     pair = [{"label": "Photos", "n": 6, "fixed": 2, "still": 2, "both_ok": 1, "broken": 1, "p": 1.0, "rates": stats}]
     assert report.compare_report(pair, [], [], []).count("<section>") == 8
-    assert report.axis_end(0.105) == (pytest.approx(0.12), 0.02) and report.fmt_p(0.0001) == "p < 0.001" and report.pct(0.0349) == "3.5 %"
-    assert report.reviewers_note([]) == "Reviewer not recorded." and "2 reviewers" in report.reviewers_note(["a", "b", "a"])
+    assert report.axis(0.105) == (pytest.approx(0.12), 0.02) and report.axis(0.4) == (pytest.approx(0.4), pytest.approx(0.1)) and report.axis(0) == (1.0, 0.25) and report.fmt_p(0.0001) == "p < 0.001" and report.pct(0.0349) == "3.5 %"
+    assert report.judged_by([]) == "Judged by an unknown reviewer." and report.judged_by(["b"]) == "Judged by b." and "a, b; their" in report.judged_by(["b", "a", "b"])
     assert F is not None
