@@ -16,8 +16,8 @@ def merge_records(base: DataFrame, patch: DataFrame, take: DataFrame, key: str =
     refuse(take.join(base, key, "left_anti"), key, "taken name(s) not in the base run")
     refuse(take.join(patch, key, "left_anti"), key, "taken name(s) not in the patch run")
     refuse(patch.join(take, key, "left_semi").where("status <> 'ok'"), key, "taken name(s) not ok in the patch run")
-    kept = base.join(F.broadcast(take), key, "left_anti")
-    return kept.unionByName(patch.join(F.broadcast(take), key, "left_semi"), allowMissingColumns=True).select(*base.columns)
+    kept = base.join(take, key, "left_anti")
+    return kept.unionByName(patch.join(take, key, "left_semi"), allowMissingColumns=True).select(*base.columns)
 
 
 def drops_by_content(records: DataFrame, by_name: DataFrame, by_sha: DataFrame, take: DataFrame, rule: bool = True, key: str = "file_name") -> DataFrame:
@@ -28,7 +28,7 @@ def drops_by_content(records: DataFrame, by_name: DataFrame, by_sha: DataFrame,
     n = by_name.select(F.col("key").alias("__n"), F.col("reason").alias("r1"))
     s = by_sha.select(F.col("key").alias("__s"), F.col("reason").alias("r2"))
     t = take.select(F.col(key).alias("__t")).distinct()
-    out = records.join(F.broadcast(n), F.col(key) == F.col("__n"), "left").join(F.broadcast(s), F.col("sha256") == F.col("__s"), "left").join(F.broadcast(t), F.col(key) == F.col("__t"), "left")
+    out = records.join(n, F.col(key) == F.col("__n"), "left").join(s, F.col("sha256") == F.col("__s"), "left").join(t, F.col(key) == F.col("__t"), "left")
     r3 = F.when(F.col("__t").isNull(), rule_b(F.col("status"), F.col("instances"))) if rule else F.lit(None).cast("string")
     return out.select(key, F.coalesce("r1", "r2", r3).alias("reason")).where("reason is not null")
 

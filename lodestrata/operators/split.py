@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter, deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import connected_components
+from .ranks import hash_ranks
 
 SPLITS = ("train", "val", "test")
 
@@ -58,60 +60,62 @@ def split_one_domain(groups: DataFrame, seed: int | str, val_frac: float, test_f
     max(1, round(test_frac * n)) of a class are test, the next val, the rest train; a class with
     fewer than min_specimens groups is train_only. round() is half to even."""
     order = F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col(cls).cast("string"), F.col(specimen).cast("string")), 256)
-    n = F.count("*").over(Window.partitionBy(cls))
-    r = F.row_number().over(Window.partitionBy(cls).orderBy(order, specimen))
-    need = lambda frac: F.greatest(F.lit(1), F.bround(n * F.lit(frac), 0).cast("int"))
-    return groups.withColumn("split", F.when(n < min_specimens, "train_only").when(r <= need(test_frac), "test").when(r <= need(test_frac) + need(val_frac), "val").otherwise("train"))
-
-
-def pick_splits(pool: list[tuple[str, frozenset[str]]], need: dict[str, dict[str, int]]) -> dict[str, str]:
-    """Fill the quotas (split -> domain -> number) from a shuffled pool, one pick at a time: the
-    first group that helps all its evaluated domains, else the first that helps one."""
-    left, out = list(pool), {}
-    for name, quota in need.items():
-        open_ = {d: k for d, k in quota.items() if k > 0}
-        while open_:
-            helpful = [i for i, (_, domains) in enumerate(left) if any(d in open_ for d in domains)]
-            if not helpful:
-                break
-            pure = next((i for i in helpful if all(d in open_ for d in left[i][1] if d in quota)), helpful[0])
-            group, domains = left.pop(pure)
-            out[group] = name
-            for d in domains & open_.keys():
-                open_[d] -= 1
-                if not open_[d]:
-                    del open_[d]
+    placed = hash_ranks(groups.select("*"), [cls], order, specimen)
+    share = lambda frac: F.greatest(F.lit(1), F.bround(F.col("total") * F.lit(frac), 0).cast("int"))
+    split = F.when(F.col("total") < min_specimens, "train_only").when(F.col("rank") <= share(test_frac), "test").when(F.col("rank") <= share(test_frac) + share(val_frac), "val").otherwise("train")
+    return placed.select(*groups.columns, split.alias("split"))
+
+
+def fill_quotas(pool: list[tuple[str, frozenset[str]]], need: dict[str, dict[str, int]]) -> dict[str, str]:
+    """group -> split: fill each split's quotas (split -> domain -> number) from a shuffled pool.
+
+    Groups with the same domains are alike but for their place, so the pool is one queue for each
+    set of domains, and every pick is the best queue's head: of the queues that give to an open
+    quota, one that gives to no closed quota comes before others, then the earliest place.
+    """
+    queues: dict[frozenset[str], deque[tuple[int, str]]] = {}
+    for place, (group, domains) in enumerate(pool):
+        queues.setdefault(domains, deque()).append((place, group))
+    out: dict[str, str] = {}
+    for split, quota in need.items():
+        open_ = Counter({d: k for d, k in quota.items() if k > 0})
+        while heads := [(bool((domains & quota.keys()) - open_.keys()), q[0], domains) for domains, q in queues.items() if q and domains & open_.keys()]:
+            domains = min(heads, key=lambda h: h[:2])[2]
+            out[queues[domains].popleft()[1]] = split
+            open_ -= Counter(d for d in domains if d in open_)
     return out
 
 
 def split_classes(groups: DataFrame, domains: list[str], seed: int | str, val_frac: float, test_frac: float, min_specimens: int, shuffle: str = "hash") -> DataFrame:
-    """(specimen, class, domains, split) with quotas for each domain.
+    """(specimen, class, domains, split, evaluated) with quotas for each domain.
 
     groups: specimen, class, domains (array). A domain is evaluated for a class with at least
     min_specimens groups in it; each evaluated domain gets max(1, round(frac * n)) groups of test
-    and of val. The pick is greedy and stateful, so a class is one grouped-map task: classes are
-    independent, and a class's table of (id, domains) is small beside its images.
+    and of val. Which domains are evaluated is an aggregation; the picks hang on one another, so
+    of a class's groups the ids and domains, and nothing else, are one task.
     shuffle="mt" is Python's own generator seeded with "<seed>/<class>".
     """
+    rows = groups.select("specimen", F.col("class"), "domains")
+    sizes = rows.select("class", F.explode("domains").alias("d"), "specimen").groupBy("class", "d").agg(F.countDistinct("specimen").alias("n")).where(F.col("d").isin(*domains) & (F.col("n") >= min_specimens))
+    of_class = sizes.groupBy(F.col("class").alias("__class")).agg(F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("sizes"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cls = key[0]
-        ids = sorted(zip(rows.specimen, map(frozenset, rows.domains), strict=True))
-        n = {d: sum(d in own for _, own in ids) for d in domains}
-        evaluated = [d for d in domains if n[d] >= min_specimens]
-        if not evaluated:
-            return rows.assign(split="train_only", evaluated=[[]] * len(rows))
+        sizes = rows["sizes"].iloc[0]
+        n = {d: sizes[d] for d in domains if sizes is not None and d in sizes}
+        if not n:
+            return rows.drop(columns="sizes").assign(split="train_only", evaluated=[[]] * len(rows))
+        held = dict(zip(rows["specimen"], rows["domains"], strict=True))
         if shuffle == "mt":
-            random.Random(f"{seed}/{cls}").shuffle(ids)
+            ids = sorted(held)
+            random.Random(f"{seed}/{key[0]}").shuffle(ids)
         else:
-            ids.sort(key=lambda x: hashlib.sha256(f"{seed}/{cls}/{x[0]}".encode()).hexdigest())
-        need = {name: {d: max(1, round(frac * n[d])) for d in evaluated} for name, frac in (("test", test_frac), ("val", val_frac))}
-        pool = [(s, own & set(evaluated)) for s, own in ids]
-        picked = pick_splits(pool, need)
-        return rows.assign(split=[picked.get(s, "train") for s in rows.specimen], evaluated=[evaluated] * len(rows))
+            ids = sorted(held, key=lambda i: hashlib.sha256(f"{seed}/{key[0]}/{i}".encode()).hexdigest())
+        need = {split: {d: max(1, round(frac * k)) for d, k in n.items()} for split, frac in (("test", test_frac), ("val", val_frac))}
+        to = fill_quotas([(i, frozenset(held[i]).intersection(n)) for i in ids], need)
+        return rows.drop(columns="sizes").assign(split=[to.get(i, "train") for i in rows["specimen"]], evaluated=[list(n)] * len(rows))
 
-    rows = groups.select("specimen", F.col("class"), "domains")
-    return rows.groupBy("class").applyInPandas(run, "specimen string, class string, domains array<string>, split string, evaluated array<string>")
+    known = rows.join(of_class, rows["class"].eqNullSafe(F.col("__class")), "left").drop("__class")
+    return known.groupBy("class").applyInPandas(run, "specimen string, class string, domains array<string>, split string, evaluated array<string>")
 
 
 def balance(images: DataFrame, by: list[str], split: str = "split", specimen: str = "specimen", splits: tuple[str, ...] = (*SPLITS, "train_only")) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, records, stats
-from ..operators import curate, decisions, probe, replay, review, sampling, split
+from ..operators import curate, decisions, probe, ranks, replay, review, sampling, split
 from ..operators.components import connected_components
 from ..session import table
 from ..streaming import replay as stream
@@ -201,9 +201,8 @@ FROM lineitem GROUP BY l_returnflag
 """)
 def q_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact quartiles with linear interpolation."""
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(q.alias("q"))
-    return g.select("l_returnflag", *[_r(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    q = ranks.quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return q.select("l_returnflag", *[_r(F.col(n), 6).alias(n) for n in ("q25", "q50", "q75")])
 
 
 # --- sheets, joins ----------------------------------------------------------------------------
