@@ -97,3 +97,22 @@ def manifest_columns(class_name: str, label_columns: list[str] | None = None) ->
 def changed_set(before: DataFrame, after: DataFrame, iou: Column, threshold: float = 0.99, key: str = "file_name") -> DataFrame:
     """Rows of both runs whose masks differ: IoU strictly below the threshold."""
     return before.join(after, key).withColumn("iou", iou).where(F.col("iou") < threshold)
+
+
+def select_images(files: DataFrame, wanted: DataFrame, key: str = "file_name") -> DataFrame:
+    """The files on a list of names; a name that no file has is refused."""
+    names = wanted.select(F.col("name").alias(key)).distinct()
+    refuse(names.join(files, key, "left_anti"), key, "listed name(s) without a file")
+    return files.join(names, key, "left_semi")
+
+
+def images_per_domain(images: DataFrame, domains: list[str], specimen: str = "specimen", domain: str = "domain") -> DataFrame:
+    """(specimen, one column for each domain, images): how many images each specimen has where."""
+    n = [F.count_if(F.col(domain) == d).alias(d) for d in domains]
+    return images.groupBy(specimen).agg(*n, F.count(F.lit(1)).alias("images"))
+
+
+def value_counts(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, column, value, n) of several columns in one pass; null is a value."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(*(by or []), F.explode(each).alias("__v")).groupBy(*(by or []), F.col("__v.column").alias("column"), F.col("__v.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))

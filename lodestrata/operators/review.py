@@ -29,11 +29,28 @@ def category_rates(decisions: DataFrame, by: list[str], categories: str = "categ
     return joined.select(*by, "category", "k", "n", rate(F.col("k"), F.col("n")).alias("rate"), w["low"].alias("low"), w["high"].alias("high"))
 
 
-def run_summary(decisions: DataFrame, items: DataFrame, run: str = "run") -> DataFrame:
-    """items, judged and verdict counts of each run."""
+def run_summary(decisions: DataFrame, items: DataFrame, run: str = "run", categories: str | None = None) -> DataFrame:
+    """items, judged and verdict counts of each run; with a categories column also `categories`, a map
+    of how many judged items carry each."""
     n = items.groupBy(run).agg(F.count("*").alias("items"))
     d = decisions.groupBy(run).agg(F.count("*").alias("judged"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("ok", "fix", "drop")])
-    return n.join(d, run, "left").na.fill(0, ["judged", "ok", "fix", "drop"])
+    out = n.join(d, run, "left").na.fill(0, ["judged", "ok", "fix", "drop"])
+    if categories is None:
+        return out
+    k = decisions.select(run, F.explode(F.array_distinct(categories)).alias("c")).groupBy(run, "c").agg(F.count("*").alias("k"))
+    k = k.groupBy(run).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("c", "k")))).alias("categories"))
+    return out.join(k, run, "left").withColumn("categories", F.coalesce("categories", F.create_map().cast("map<string,bigint>")))
+
+
+def reviewable(records: DataFrame, overlays: DataFrame, wanted: DataFrame | None = None, flagged_only: bool = False) -> DataFrame:
+    """Records (file_name, overlay, status, flags) that can be shown: ok, with an overlay that exists
+    (overlays: name), and, where a list of names is given, listed by their own name or the
+    overlay's."""
+    out = records.where("status = 'ok'").join(overlays.select(F.col("name").alias("overlay")).distinct(), "overlay", "left_semi")
+    if wanted is not None:
+        name = wanted.select(F.col("name").alias("__w")).distinct()
+        out = out.join(name, (F.col("file_name") == F.col("__w")) | (F.col("overlay") == F.col("__w")), "left_semi")
+    return out.where(F.size("flags") > 0) if flagged_only else out
 
 
 def paired(decisions: DataFrame, before: str, after: str, key: str = "file_name", run: str = "run") -> DataFrame:

@@ -6,6 +6,7 @@ and what is missing before anything does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,20 @@ def plan(steps: list[str], present: set[str], needs: dict[str, list[str]], exist
     return out
 
 
+def run(steps: list[str], actions: dict[str, Callable[[dict], object]], present: set[str] = frozenset(), needs: dict[str, list[str]] | None = None, exists: set[str] = frozenset()) -> dict[str, object]:
+    """Carry out the steps in their fixed order: each action gets the results so far and gives its
+    own. Nothing runs before `plan` has found every input; a step that is left out because its
+    output exists has no result."""
+    todo = plan(steps, set(present), needs or {}, set(exists))
+    if lacking := [s for s, why in todo if not why and s not in actions]:
+        raise InputError(f"no action for {', '.join(lacking)}")
+    done: dict[str, object] = {}
+    for step, why in todo:
+        if not why:
+            done[step] = actions[step](dict(done))
+    return done
+
+
 def labels_from_names(files: DataFrame) -> DataFrame:
     """Label rows of (file_name, sha256): the name's parts, marked where they need a review."""
     p = parse.parse_name(parse.stem(F.col("file_name")))

@@ -593,4 +593,33 @@ def q_linear_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.accuracy(probe.predictions(rows, "label", "embedding", "vec_id", components=32, iterations=20), "label")
 
 
+@query("SELECT sha256(text) AS specimen, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de, count(*) AS images FROM documents GROUP BY 1")
+def q_images_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("specimen"), "lang")
+    return curate.images_per_domain(d, ["en", "de"], domain="lang")
+
+
+@query("SELECT 'p_brand' AS \"column\", p_brand AS value, count(*) AS n FROM part GROUP BY p_brand UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY p_type")
+def q_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curate.value_counts(table(spark, sf_dir, "part"), ["p_brand", "p_type"])
+
+
+@query("SELECT o.o_orderkey FROM orders o WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def q_select_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders named by a list, here of the orders with a returned line."""
+    wanted = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("name"))
+    return curate.select_images(table(spark, sf_dir, "orders").select("o_orderkey"), wanted, key="o_orderkey")
+
+
+@query("""
+SELECT doc_id AS file_name FROM documents d WHERE quality_status = 'ok' AND (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR -doc_id IN (SELECT -doc_id FROM labels WHERE toxic = 1)) AND n_chars > 1000
+""".replace("quality_status = 'ok'", "lang <> 'de'"))
+def q_reviewable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: `ok` unless German, flagged if long, wanted by id or by overlay."""
+    d, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    records = d.select(F.col("doc_id").alias("file_name"), (-F.col("doc_id")).alias("overlay"), F.when(F.col("lang") == "de", "skipped").otherwise("ok").alias("status"), F.when(F.col("n_chars") > 1000, F.array(F.lit("long"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+    wanted = known.where("quality = 1").select(F.col("doc_id").alias("name")).unionByName(known.where("toxic = 1").select((-F.col("doc_id")).alias("name")))
+    return review.reviewable(records, d.select((-F.col("doc_id")).alias("name")), wanted, flagged_only=True).select("file_name")
+
+
 from . import pixel_queries  # noqa: E402, F401  (registers its queries)

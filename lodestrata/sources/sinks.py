@@ -104,3 +104,28 @@ def input_hash(df: DataFrame) -> str:
     cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("a"), F.sum(F.hash(*cols).cast("decimal(38,0)")).alias("b")).first()
     return f"{r['n']}:{r['a'] or 0}:{r['b'] or 0}"
+
+
+def check_split(split: dict, labels: str, segmented: str) -> None:
+    """Refuse a split that was made from other labels or for another run of segmentation than those
+    at hand: it carries the hash of the one and the name of the other."""
+    now = {"labels_hash": labels, "segmented": segmented}
+    if differ := [k for k, v in now.items() if split.get(k) != v]:
+        raise InputError("the split was made with another " + ", ".join(f"{k} ({split.get(k)!r}, now {now[k]!r})" for k in differ))
+
+
+def check_merge(spark: SparkSession, out: str, patch: str | None, drops: list[str]) -> None:
+    """Refuse a merge over an output that exists, and one that would change nothing."""
+    p, fs = _path(spark, out)
+    if fs.exists(p):
+        raise InputError(f"{out} exists; a merge writes to a new folder")
+    if patch is None and not drops:
+        raise InputError("nothing to merge: give a patch run or a list of drops")
+
+
+def check_categories(saved: dict | None, names: list[str]) -> dict:
+    """The binding of a review to its categories, to be saved; refuses a review begun with others,
+    since its decisions mean what they meant then."""
+    if saved is not None and saved.get("categories") != names:
+        raise InputError(f"the review was begun with the categories {saved.get('categories')}, not {names}")
+    return {"categories": names}
