@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, near_dedup, packing, quality_pu
-from lodestrata.llm._common import held_out, rows_of, stored
+from lodestrata.llm._common import fresh, held_out, rows_of, stored
 from lodestrata.llm.line_dedup import deduplicated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier accepts."""
+    """Documents that the positive-unlabelled classifier accepts. A null text is scored as an empty
+    one; rows that are alike score alike, so repeats stay or go together; a score of exactly the
+    threshold stays. Without a positive label every document stays."""
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out())
     labels = rows_of(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out())
     return quality_pu.accepted(docs, quality_pu.train(seen, labels))
@@ -30,19 +32,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id."""
-    gone = near_dedup.near_duplicates(docs, percent=80, k=5).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """One document of each group of near duplicates, the one with the least id, at a similarity of
+    0.8 over five words: what such stages take by default, where the query of the operator has
+    0.85 by its own contract. Rows without an id or without words all stay; rows that share an id
+    are one document, so they stay or go together."""
+    [gone_id] = fresh(docs, "gone_id")
+    gone = near_dedup.near_duplicates(docs, percent=80, k=5).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(gone_id), "left_anti")
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The flattest mix that uses every document once at least and none more than 1.5 times its
-    source's share allows; a document that is used again is a row again."""
+    source's share allows; a document that is used again is a row again. A null source is a source
+    of its own; texts without words are used once; rows of one source that share an id are used
+    alike."""
     return mixing.mixed(docs, limit=1.5, cover=True)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens in sequences of at most 4096."""
+    """Pieces of at most 4096 tokens in sequences of at most 4096. A null or empty text is its
+    closing token; rows that share an id are packed each by itself."""
     return packing.pack_documents(docs, 4096)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,9 +64,29 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end, so that a long session does not fill the shared
+    folder; write or collect a result before that. Scopes nest."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _scopes.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Hadoop deletes it when the driver's JVM ends."""
+    """A fresh path in the shared folder. It is deleted with the innermost `scratch` scope, or by
+    Hadoop when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
