@@ -101,17 +101,22 @@ def quotas(items: DataFrame, flag_quotas: list[tuple[str, int]], strata: list[tu
     specimen is taken twice and no genus more than per_genus times over all strata.
 
     items: file_name, genus, catalog_number, view, instances, flags. The caps tie all strata
-    together, so the walk itself is one task; only the items that could be picked go there: of
-    each stratum the per_genus first of each genus and catalogue number in hash order, which
-    the caps would not pass anyway.
+    together, so the walk itself is one task; what goes there is bounded by the quotas alone. With
+    N picks in all, N specimens are taken at most and N / per_genus genera full. So of a stratum
+    only the first of each genus and specimen can be picked; of a genus the first per_genus + N;
+    of a specimen those of the first N / per_genus + 1 genera; and of what is left the first n,
+    plus as many as taken specimens and full genera can block.
     """
     tests = [(f"flag:{f}", F.array_contains("flags", f), n) for f, n in flag_quotas]
     tests += [(f"{v}:{b}", (F.col("view") == v) & in_bucket(F.lit(b), F.col("instances")), n) for v, b, n in strata]
     hit = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("i"), F.lit(name).alias("stratum"), F.lit(n).alias("n"))) for i, (name, c, n) in enumerate(tests)]))
     rows = items.select("file_name", "genus", "catalog_number", F.explode(hit).alias("s")).select("file_name", "genus", "catalog_number", "s.*")
     rows = rows.withColumn("o", F.sha2(F.concat_ws("/", F.lit(str(seed)), "stratum", "file_name"), 256))
-    first = F.row_number().over(Window.partitionBy("i", "genus", "catalog_number").orderBy("o", "file_name"))
-    rows = rows.withColumn("r", first).where(F.col("r") <= per_genus + sum(n for _, _, n in tests))
+    picks = sum(n for _, _, n in tests)
+    full = picks // max(per_genus, 1)
+    blocked = picks * (full + 1) + full * (per_genus + picks)
+    for by, most in ((["i", "genus", "catalog_number"], 1), (["i", "genus"], per_genus + picks), (["i", "catalog_number"], full + 1), (["i"], picks + blocked)):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("o", "file_name"))).where(F.col("r") <= most).drop("r")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, specimens, genera, got = [], set(), {}, {}

@@ -30,10 +30,12 @@ def decisions(state: DataFrame) -> DataFrame:
 
 
 class ReplayStore:
-    """Versions of the state under a folder, `v=<batch>`; the newest complete one counts."""
+    """Versions of the state under a folder, `v=<batch>`; the newest complete one counts. With `keep`,
+    only so many of the newest stay (two at least: a batch that is run again needs the one before)."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], keep: int | None = None):
         self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order
+        self.keep = None if keep is None else max(keep, 2)
 
     def _versions(self) -> list[int]:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -56,6 +58,11 @@ class ReplayStore:
         old = self.read(before=batch_id)
         new = last_lines(batch, self.keys, self.order) if old is None else merged(old, batch, self.keys, self.order)
         new.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        if self.keep is not None:
+            jvm = self.spark.sparkContext._jvm
+            for v in self._versions()[: -self.keep]:
+                gone = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
+                gone.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -187,6 +187,9 @@ def test_stream_replay(spark, tmp_path):
     got = {r["file_name"]: r["verdict"] for r in stream.decisions(store.read()).collect()}
     assert got == {"a": "ok", "c": "drop"}  # the late line of b does not bring it back
     assert {r["file_name"]: r["verdict"] for r in stream.decisions(store.read(before=1)).collect()} == {"a": "fix", "b": "ok"}
+    short = stream.ReplayStore(spark, str(tmp_path / "state"), ["file_name"], ["line"], keep=1)
+    short.update(spark.createDataFrame([("d", "ok", 9)], schema), 3)
+    assert short._versions() == [2, 3] and stream.decisions(short.read()).count() == 3
 
 
 def test_event_windows(spark):
