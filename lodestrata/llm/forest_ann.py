@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from ._common import column, rows_of, sampled, stored
 
 TREES, BITS = 8, 32
-ROOM, CALIBRATE, DEEPER = 8192, 48, 4
+ROOM, CALIBRATE, DEEPER = 16384, 48, 4
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -298,7 +298,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.9
         effort = float(enough["effort"].iloc[0] if len(enough) else table["effort"].iloc[-1])
     n = held.count()
     entries = held.select("rep", "ids", "v", "dim", F.posexplode("keys").alias("tree", "key"))
-    cut = cells(entries.select("dim", "tree", "key"), room, max(0, int(np.ceil(np.log2(max(n / room, 1)))) + 1))
+    cut = cells(entries.select("dim", "tree", "key"), room, max(0, int(np.ceil(np.log2(max(n / room, 1))))))
     depths = sorted(r["depth"] for r in cut.select("depth").distinct().collect()) or [0]
     each = asked.select("q", "query_id", "v", "dim", F.posexplode("keys").alias("tree", "key"))
     goes = each.join(stored(_ascents(each, entries, cut, depths, effort), "levels"), "q")
