@@ -89,23 +89,40 @@ def blocks(docs: DataFrame, tokenizer: str | None = None, size: int = BLOCK) ->
 
 
 class Grams:
-    """The n-grams of a block: for each order its places in the block, their distinct n-grams
-    and, for each place, which of them it is."""
-
-    def __init__(self, ids: bytes, n: np.ndarray):
-        self.x = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), "<u2").astype(np.uint64)
-        self.doc = np.repeat(np.arange(len(n)), n)
-        x, d = self.x, self.doc
-        self.places = [np.arange(len(x)), np.flatnonzero(d[1:] == d[:-1]) + 1, np.flatnonzero(d[2:] == d[:-2]) + 2]
-        self.distinct, self.which, self.counts = [], [], []
-        for order, at in enumerate(self.places):
+    """The n-grams of a block: for each order its places in the block and the distinct n-grams with
+    their counts; to score, also which of them each place holds and how often its document does.
+
+    One stable sort of an order's n-grams tells all of it: equal ones stand together, and among
+    them the places of one document, since documents follow one another in a block.
+    """
+
+    def __init__(self, ids: bytes, n: np.ndarray, to_score: bool = False):
+        x = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), "<u2").astype(np.uint64)
+        d = self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.places, self.distinct, self.counts, self.which, self.own = [], [], [], [], []
+        for order in range(3):
+            at = np.flatnonzero(d[order:] == d[: len(d) - order]).astype(np.int32) + np.int32(order)
             g = x[at]
             for back in range(1, order + 1):
-                g = g | (x[at - back] << np.uint64(SHIFT * back))
-            u, w, c = np.unique(g, return_inverse=True, return_counts=True)
-            self.distinct.append(u | np.uint64(order << ORDER))
-            self.which.append(w)
-            self.counts.append(c)
+                g |= x[at - back] << np.uint64(SHIFT * back)
+            tag = np.uint64(order << ORDER)
+            self.places.append(at)
+            if not to_score:
+                u, c = np.unique(g, return_counts=True)
+                self.distinct.append(u | tag)
+                self.counts.append(c)
+                continue
+            by = np.argsort(g, kind="stable").astype(np.int32)
+            g, of = g[by], d[at][by]
+            fresh = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
+            begins = np.flatnonzero(fresh | np.concatenate([[True], of[1:] != of[:-1]])[: len(g)])
+            which, own = np.empty(len(g), np.int32), np.empty(len(g), np.int32)
+            which[by] = np.cumsum(fresh, dtype=np.int32) - 1
+            own[by] = np.repeat(np.diff(begins, append=len(g)), np.diff(begins, append=len(g)))
+            self.distinct.append(g[fresh] | tag)
+            self.counts.append(np.diff(np.flatnonzero(fresh), append=len(g)))
+            self.which.append(which)
+            self.own.append(own)
 
     def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All distinct n-grams in the order of their partitions: (place before dealing, n-gram,
@@ -117,12 +134,6 @@ class Grams:
         order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
         return order, g[order], c[order], part[order]
 
-    def own(self, order: int) -> np.ndarray:
-        """For each place of an order, how often its document holds its n-gram."""
-        key = self.doc[self.places[order]].astype(np.uint64) * np.uint64(len(self.distinct[order]) or 1) + self.which[order].astype(np.uint64)
-        _, w, c = np.unique(key, return_inverse=True, return_counts=True)
-        return c[w]
-
 
 def asked(held: DataFrame, parts: int) -> DataFrame:
     """(block, part, grams, counts): the distinct n-grams of each block, by partition."""
@@ -152,10 +163,10 @@ def totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def log_probs(grams: Grams, total: np.ndarray, n_docs: np.ndarray, corpus: int) -> np.ndarray:
     """The log-probability of each document of a block. `total` holds the corpus's counts of the
     block's distinct n-grams, order after order; n_docs the documents' numbers of tokens."""
-    elsewhere, n = [], len(grams.x)
+    elsewhere, n = [], len(grams.doc)
     for order, t in enumerate(np.split(total.astype(np.int64), np.cumsum([len(u) for u in grams.distinct])[:-1])):
         out = np.zeros(n, np.int64)
-        out[grams.places[order]] = t[grams.which[order]] - grams.own(order)
+        out[grams.places[order]] = t[grams.which[order]] - grams.own[order]
         elsewhere.append(out)
     rest = corpus - n_docs[grams.doc]
     score, tries = np.full(n, -np.log(float(max(corpus, 1)))), np.zeros(n)
@@ -183,7 +194,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer
         out = []
         for _, row in of.iterrows():
             n = np.asarray(row["n"], np.int64)
-            grams = Grams(row["ids"], n)
+            grams = Grams(row["ids"], n, to_score=True)
             order, _, _, _ = grams.dealt(parts)
             total = np.zeros(len(order), np.uint64)
             if len(order):
