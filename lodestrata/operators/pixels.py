@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -251,12 +252,31 @@ def near_pieces(pixels: DataFrame, frac: float) -> DataFrame:
 
 def holes(pixels: DataFrame, sizes: DataFrame, frac: float, blocked: DataFrame | None = None) -> DataFrame:
     """(image, instance, y, x): background that a mask encloses, in pieces (without corners) of at
-    most a share of the mask, except for blocked pixels (image, y, x)."""
+    most a share of the mask, except for blocked pixels (image, y, x).
+
+    A mask's own rows tell its holes, so no table of the background is made. Masks meet the sizes
+    by a merge: a planner that goes by the size of packed files would broadcast pixels.
+    """
+
+    def find(rows: pa.Table) -> pa.Table:
+        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+        top, left = max(y.min(), 0), max(x.min(), 0)
+        bottom, right = min(y.max() + 1, rows["h"][0].as_py()), min(x.max() + 1, rows["w"][0].as_py())
+        # background at the edge of a mask's frame is at the image's border or reaches it outside the frame
+        free = np.ones((max(bottom - top, 0), max(right - left, 0)), bool)
+        inside = (y >= top) & (y < bottom) & (x >= left) & (x < right)
+        free[y[inside] - top, x[inside] - left] = False
+        fy, fx = np.nonzero(free)
+        piece = label_runs(fy, fx, corners=False)
+        small = np.bincount(piece) <= frac * len(rows)
+        small[piece[(fy == 0) | (fx == 0) | (fy == free.shape[0] - 1) | (fx == free.shape[1] - 1)]] = False
+        held = small[piece]
+        shape = pa.schema([rows.schema.field(c) for c in PIXEL])
+        columns = [pa.repeat(rows[c][0], int(held.sum())) for c in ONE] + [pa.array(fy[held] + top), pa.array(fx[held] + left)]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
     p = pixels.select(*PIXEL)
-    grid = p.select(*ONE).distinct().join(sizes, "image").withColumn("y", F.explode(F.expr("sequence(0, h - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, w - 1)")))
-    found = stored(pieces(grid.join(p, PIXEL, "left_anti"), corners=False), "pieces")
-    small = _sized(found, sizes).join(areas(p), ONE).where(~F.col("border") & (F.col("size") <= frac * F.col("area")))
-    out = _those(found, small)
+    out = p.join(sizes.select("image", "h", "w").hint("merge"), "image").groupBy(*ONE).applyInArrow(find, p.schema)
     return out if blocked is None else out.join(blocked.select("image", "y", "x").distinct(), ["image", "y", "x"], "left_anti")
 
 

@@ -160,6 +160,39 @@ def test_pieces(t, images):
     same(dense(px.holes(t["pixels"], t["sizes"], 0.05)), want)
 
 
+def drawn(spark, masks):
+    """Pixels of masks drawn as lines of text, with the place of their upper left corner."""
+    rows = [(image, k, y0 + y, x0 + x) for (image, k), (y0, x0, lines) in masks.items() for y, line in enumerate(lines) for x, c in enumerate(line) if c == "#"]
+    return spark.createDataFrame(rows, "image long, instance int, y int, x int")
+
+
+def test_holes_at_frames_and_borders(spark):
+    ring = ["###", "#.#", "###"]
+    masks = {
+        (1, 0): (0, 0, ring), (1, 1): (3, 3, ring),  # in both corners of the image
+        (2, 0): (1, 1, [".#.", "#.#", ".#."]),  # closed by corners alone
+        (2, 1): (1, 1, [".##", "#.#", "#.."]),  # open below
+        (3, 0): (-1, 2, ring), (3, 1): (1, 4, ring),  # the hole lies on the border; the rim leaves the image
+        (4, 0): (0, 0, ["#####", "#...#", "####.", "#.#..", "###.."]),  # two holes, one too large
+        (5, 0): (0, 0, ring),  # an image of no known size
+        (6, 0): (7, 7, ring), (6, 1): (2, 2, ["#"]),
+    }
+    sizes = spark.createDataFrame([(i, 6, 6) for i in (1, 2, 3, 4, 6, 7)], "image long, h int, w int")
+    got = {tuple(r) for r in px.holes(drawn(spark, masks), sizes, 0.25).collect()}
+    assert got == {(1, 0, 1, 1), (1, 1, 4, 4), (2, 0, 2, 2), (4, 0, 1, 1), (4, 0, 1, 2), (4, 0, 1, 3), (4, 0, 3, 1)}
+    got = {tuple(r) for r in px.holes(drawn(spark, masks), sizes, 0.12).collect()}
+    assert got == {(4, 0, 3, 1)}
+
+
+def test_holes_broadcast_nothing(spark, t):
+    """A stored table of pixels is much larger than its files, so a planner that goes by these fills
+    the driver with it."""
+    found = px.holes(t["pixels"], t["sizes"], 0.05)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("frac", [0.12, 0.35])
 def test_near_pieces(t, images, frac):
     """Dilating what stays, again and again, until it reaches no further piece."""
